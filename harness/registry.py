@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harness.fixture import AS_OF, STORED_UNTIL, TENANT, spark_tables
+from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
 from triage.functions import clock
 from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets
 from triage.operators.queues import QueueFilter
@@ -38,7 +38,7 @@ def rule() -> Rule:
 
 _workspaces: dict[tuple[str, str], Workspace] = {}
 _responses: dict[tuple[str, str], DataFrame] = {}
-_stored: dict[tuple[str, str], DataFrame] = {}
+_served: dict[tuple[str, str], Workspace] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -59,11 +59,12 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 def served(spark: SparkSession, sf_dir: str) -> Workspace:
     """The pipeline over stored tickets."""
     key, raw = _key(spark, sf_dir), workspace(spark, sf_dir)
-    if key not in _stored:
+    if key not in _served:
         path = scratch(spark, "tickets")
         raw.rebuilt_tickets.write.parquet(path)
-        _stored[key] = spark.read.schema(raw.rebuilt_tickets.schema).parquet(path)
-    return Workspace(raw.inputs, SETTINGS, rule(), stored_tickets=_stored[key])
+        stored = spark.read.schema(raw.rebuilt_tickets.schema).parquet(path)
+        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_tickets=stored)
+    return _served[key]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -108,7 +109,7 @@ def _report(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
 def _null_aware_anti(ws: Workspace) -> DataFrame:
     keyed = ws.inputs.core_members.withColumn(
         "_key", F.when(F.col("network_role").isNotNull(), F.col("member_id")))
-    return joins.not_in(keyed, "_key", ws.inputs.coaches.select("member_id")).select(
+    return joins.not_in(keyed, "_key", joins.IdSet.of(ws.inputs.coaches.select("member_id"))).select(
         "member_id", "email_address")
 
 
@@ -179,15 +180,19 @@ def _version_stats(ws: Workspace) -> DataFrame:
     return feedback.version_stats(ws.inputs.prompt_config, ws.scores, ws.feedback)
 
 
+def _new_labels(ws: Workspace) -> DataFrame:
+    return ws.new_labels(scoring.topic_by_words(F.col("body"), TOPIC_WORDS))
+
+
 def _topic_labels(ws: Workspace) -> DataFrame:
-    return edits.upsert(ws.labels, ws.new_labels, "content_id")
+    return edits.upsert(ws.labels, _new_labels(ws), "content_id")
 
 
 def _topic_responses(ws: Workspace) -> DataFrame:
     """Half of the answers lack the label and must be left for the next run."""
-    usable = F.length("domain") % 2 == 0
+    usable = F.length("content_id") % 2 == 0
     result = F.when(usable, F.to_json(F.struct("domain"))).otherwise('{"domain": null}')
-    answered = ws.new_labels.select("content_id", result.alias("result"))
+    answered = _new_labels(ws).select("content_id", result.alias("result"))
     return scoring.labels_from_responses(answered, SETTINGS.now).drop("labeled_at")
 
 
@@ -261,7 +266,7 @@ def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = VersionedTable(spark, out, _content_schema(ws.posts), by_day=True)
     query = upsert_stream(
         stream, table, "content_id", f"{out}-checkpoint", f"posts_{uuid.uuid4().hex}",
-        transform=lambda rows: staging.clean_posts(rows, ws.excluded, TENANT, SETTINGS.broadcast_rows),
+        transform=lambda rows: staging.clean_posts(rows, ws.excluded, TENANT),
         order=[F.col("updated_at").desc_nulls_last()])
     query.awaitTermination()
     return table.read()
@@ -342,7 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coach_list": _raw(lambda ws: queues.coach_list(ws.inputs.coaches)),
         "coach_names": _raw(lambda ws: queues.coach_names(ws.inputs.coaches)),
         "member_search": _raw(lambda ws: queues.member_search(
-            ws.inputs.core_members, ws.inputs.coaches, TENANT, "Build")),
+            ws.inputs.core_members, joins.IdSet.of(ws.inputs.coaches.select("member_id")), TENANT, "Build")),
         # Threads
         "thread_timeline": _raw(_thread_timeline),
         "thread_backfill": _raw(_thread_backfill),

@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from triage import vocabulary as v
 from triage.functions.text import prefixed
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
-from triage.operators.staging import of_tenant, staff_ids
+from triage.operators.joins import IdSet
+from triage.operators.staging import of_tenant
 
 SIGNALS = ("team_commented", "team_comment_replied", "team_reacted")
 
 
-def team_engagement(core_comments: DataFrame, core_reactions: DataFrame, core_members: DataFrame,
-                    tenant: str, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def team_engagement(core_comments: DataFrame, core_reactions: DataFrame, staff: IdSet,
+                    tenant: str) -> DataFrame:
     """One row per touched item.
 
     The three signals are tagged, stacked and grouped once. ``bool_or`` and ``min`` combine on
     the map side, so an item with a third of all reactions still sends one row per task, and the
     output stays partitioned by ``content_id`` for the ticket join.
     """
-    staff = broadcast_if_small(staff_ids(core_members, tenant), max_rows)
-
     comments = of_tenant(core_comments, tenant).filter(F.col("comment_status") == "active")
-    by_staff = comments.join(staff, comments.author_id == staff.member_id, "left_semi")
+    by_staff = comments.join(staff.side, comments.author_id == staff.ids.member_id, "left_semi")
     answers_post = (F.col("depth") == 1) & (F.col("targetable_type") == "Post")
     answers_comment = (F.col("depth") == 2) & F.col("reply_to_id").isNotNull()
     commented = by_staff.filter(answers_post | answers_comment).select(
@@ -39,7 +37,7 @@ def team_engagement(core_comments: DataFrame, core_reactions: DataFrame, core_me
     reactions = of_tenant(core_reactions, tenant).filter(
         (F.col("reaction_status") == "active") & F.col("targetable_type").isin("Post", "Comment")
     )
-    reacted = reactions.join(staff, "member_id", "left_semi").select(
+    reacted = reactions.join(staff.side, "member_id", "left_semi").select(
         F.when(F.col("targetable_type") == "Post", prefixed(v.POST, F.col("targetable_id")))
         .otherwise(prefixed(v.COMMENT, F.col("targetable_id"))).alias("content_id"),
         "created_at",

@@ -3,43 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
 SALTS = 32
 
 
+@dataclass(frozen=True)
+class IdSet:
+    """A one-column set of ids whose size was counted once, however often it is used."""
+
+    ids: DataFrame
+    small: bool
+
+    @classmethod
+    def of(cls, ids: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> IdSet:
+        return cls(ids, is_small(ids, max_rows))
+
+    @property
+    def side(self) -> DataFrame:
+        """The right side of a semi, anti or left join: broadcast only if counted small.
+
+        Beyond the bound the join shuffles. The large rows are then on the left, the side that
+        adaptive execution splits when one key is hot.
+        """
+        return F.broadcast(self.ids) if self.small else self.ids
+
+
 def is_small(ids: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     """Count a narrow frame (ids, bounds) against the bound; the count itself is distributed."""
     return ids.count() <= max_rows
 
 
 def broadcast_if_small(ids: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only once the count allows it; otherwise leave the join to shuffle.
-
-    The shuffled semi, anti and left joins built on this keep the large rows on the left, the
-    side that adaptive execution splits when one key is hot.
-    """
-    return F.broadcast(ids) if is_small(ids, max_rows) else ids
+    return IdSet.of(ids, max_rows).side
 
 
-def not_in(rows: DataFrame, key: str, values: DataFrame,
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """SQL ``key NOT IN (values)`` with its NULL rules; ``values`` has one column.
+def not_in(rows: DataFrame, key: str, values: IdSet) -> DataFrame:
+    """SQL ``key NOT IN (values)`` with its NULL rules.
 
     Spark always broadcasts the right side of a null-aware anti join, so the built-in form is
     used only behind the size check. Beyond it the NULL rules become a filter and the rest a
     plain anti join, which shuffles.
     """
-    values = values.toDF("_value")
-    if is_small(values, max_rows):
-        return rows.filter(~F.col(key).isin(values))
-    empty = values.agg(F.count("*") == 0).scalar()
-    has_null = values.agg(F.coalesce(F.bool_or(F.col("_value").isNull()), F.lit(False))).scalar()
+    ids = values.ids.toDF("_value")
+    if values.small:
+        return rows.filter(~F.col(key).isin(ids))
+    empty = ids.agg(F.count("*") == 0).scalar()
+    has_null = ids.agg(F.coalesce(F.bool_or(F.col("_value").isNull()), F.lit(False))).scalar()
     kept = rows.filter(empty | (~has_null & F.col(key).isNotNull()))
-    return kept.join(values, kept[key] == values["_value"], "left_anti")
+    return kept.join(ids, kept[key] == ids["_value"], "left_anti")
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -48,8 +64,6 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]
     The ``= 1`` filter over ``row_number`` plans a group limit below the exchange: each map task
     sends at most one row per key, so a hot key never gathers its rows in one task.
     """
-    from pyspark.sql import Window
-
     numbered = rows.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     )

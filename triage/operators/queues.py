@@ -13,7 +13,7 @@ from triage.functions.status import is_open
 from triage.functions.text import (
     found_in, full_name, is_blank, prefixed, preview, strip_html, trim_all,
 )
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, not_in
+from triage.operators.joins import IdSet, not_in
 from triage.operators.staging import of_tenant
 from triage.operators.tickets import newest_first, oldest_first
 
@@ -189,16 +189,15 @@ def coach_names(coaches: DataFrame) -> DataFrame:
     return coaches.select("full_name").orderBy("full_name")
 
 
-def member_search(core_members: DataFrame, coaches: DataFrame, tenant: str, term: str,
-                  limit: int = 20, wildcards: bool = True,
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def member_search(core_members: DataFrame, coaches: IdSet, tenant: str, term: str,
+                  limit: int = 20, wildcards: bool = True) -> DataFrame:
     """First ``limit`` active members whose name or address holds ``term``; coaches are left out."""
     name = full_name(F.col("first_name"), F.col("last_name"))
     hits = of_tenant(core_members, tenant).filter(
         (F.lower("member_status") == "active")
         & (found_in(name, term, wildcards) | found_in(F.col("email_address"), term, wildcards))
     )
-    others = not_in(hits, "member_id", coaches.select("member_id"), max_rows)
+    others = not_in(hits, "member_id", coaches)
     ordered = others.orderBy(
         F.col("last_name").asc_nulls_first(), F.col("first_name").asc_nulls_first(), "member_id"
     )
@@ -209,8 +208,7 @@ def member_search(core_members: DataFrame, coaches: DataFrame, tenant: str, term
 
 def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_members: DataFrame,
                     tenant: str, core_articles: DataFrame | None = None,
-                    threads: DataFrame | None = None,
-                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    threads: IdSet | None = None) -> DataFrame:
     """All conversations at once: root (depth 0), then its active comments by time and depth.
 
     Roots keep whatever status they have; a comment counts for the post its target id names.
@@ -244,7 +242,7 @@ def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_member
             item(of_tenant(core_articles, tenant), v.ARTICLE, "article_id",
                  prefixed(v.ARTICLE, F.col("article_id")), "creator_id", "description", F.lit(0), none))
     if threads is not None:
-        items = items.join(broadcast_if_small(threads.select("thread_id"), max_rows), "thread_id", "left_semi")
+        items = items.join(threads.side, "thread_id", "left_semi")
 
     people = of_tenant(core_members, tenant).select(
         F.col("member_id").alias("author_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,24 +63,24 @@ def unlabelled_questions(content: DataFrame, labels: DataFrame) -> DataFrame:
     return questions.join(done, "content_id", "left_anti")
 
 
-def topic_by_words(body: Column) -> Column:
+def topic_by_words(body: Column, dictionary: Mapping[str, Sequence[str]] = v.TOPIC_WORDS) -> Column:
     """Topic with most dictionary words in the whole body; ties go to the first listed.
 
     The body is split once and reduced to its dictionary words by a hash lookup; the counts per
     topic run over those few. Nothing is exploded, so rows never shuffle.
     """
-    words = [w for topic in v.TOPICS for w in v.TOPIC_WORDS.get(topic, ())]
+    words = [w for topic in v.TOPICS for w in dictionary.get(topic, ())]
     tokens = F.split(F.lower(F.coalesce(body, F.lit(""))), "[^a-z]+")
     found = F.filter(tokens, lambda token: token.isin(words))
 
-    def hits_of(hits: Column, words_of_topic: tuple[str, ...]) -> Column:
+    def hits_of(hits: Column, words_of_topic: Sequence[str]) -> Column:
         return F.size(F.filter(hits, lambda word: word.isin(*words_of_topic)))
 
     def pick(hits: Column) -> Column:
         counts = F.array(*(
-            F.struct(hits_of(hits, v.TOPIC_WORDS[topic]).alias("n"), F.lit(-rank).alias("order"),
+            F.struct(hits_of(hits, dictionary[topic]).alias("n"), F.lit(-rank).alias("order"),
                      F.lit(topic).alias("topic"))
-            for rank, topic in enumerate(v.TOPICS) if topic in v.TOPIC_WORDS
+            for rank, topic in enumerate(v.TOPICS) if topic in dictionary
         ))
         best = F.array_max(counts)
         return F.when(best["n"] > 0, best["topic"]).otherwise(v.FALLBACK_TOPIC)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triage import vocabulary as v
 from triage.functions.text import full_name, prefixed, strip_html
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, not_in
+from triage.operators.joins import IdSet, not_in
 from triage.schemas import CONTENT_COLUMNS
 
 
@@ -29,39 +29,31 @@ def bot_ids(info_avatars: DataFrame, tenant: str) -> DataFrame:
     return of_tenant(info_avatars, tenant).select("member_id")
 
 
-def excluded_authors(core_members: DataFrame, info_avatars: DataFrame, tenant: str) -> DataFrame:
-    """Staff and bots in one column, so that one anti join leaves out both."""
-    return staff_ids(core_members, tenant).unionByName(bot_ids(info_avatars, tenant))
-
-
-def clean_posts(core_posts: DataFrame, excluded: DataFrame, tenant: str,
-                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def clean_posts(core_posts: DataFrame, excluded: IdSet, tenant: str) -> DataFrame:
     active = of_tenant(core_posts, tenant).filter(F.col("post_status") == "active")
     key = prefixed(v.POST, F.col("post_id"))
     return _as_content(
-        not_in(active, "creator_id", excluded, max_rows),
+        not_in(active, "creator_id", excluded),
         v.POST, key, thread=key, member="creator_id", text="description",
     )
 
 
-def clean_articles(core_articles: DataFrame, excluded: DataFrame, tenant: str,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def clean_articles(core_articles: DataFrame, excluded: IdSet, tenant: str) -> DataFrame:
     active = of_tenant(core_articles, tenant).filter(F.col("article_status") == "active")
     key = prefixed(v.ARTICLE, F.col("article_id"))
     return _as_content(
-        not_in(active, "creator_id", excluded, max_rows),
+        not_in(active, "creator_id", excluded),
         v.ARTICLE, key, thread=key, member="creator_id", text="description", title=F.col("title"),
     )
 
 
-def clean_comments(core_comments: DataFrame, excluded: DataFrame, tenant: str,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def clean_comments(core_comments: DataFrame, excluded: IdSet, tenant: str) -> DataFrame:
     """Only comments under posts; they have no activity time of their own."""
     active = of_tenant(core_comments, tenant).filter(
         (F.col("comment_status") == "active") & (F.col("targetable_type") == "Post")
     )
     return _as_content(
-        not_in(active, "author_id", excluded, max_rows),
+        not_in(active, "author_id", excluded),
         v.COMMENT, prefixed(v.COMMENT, F.col("comment_id")),
         thread=prefixed(v.POST, F.col("targetable_id")),
         member="author_id", text="comment_text", last_activity=F.col("created_at"),
@@ -100,12 +92,11 @@ def newer_than(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.filter(empty | (F.col("created_at") > mark))
 
 
-def members(core_members: DataFrame, info_avatars: DataFrame, tenant: str,
-            max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def members(core_members: DataFrame, bots: IdSet, tenant: str) -> DataFrame:
     """Profiles of everyone who is neither staff nor bot; the full name keeps its outer blanks."""
     role = F.col("network_role")
     regular = of_tenant(core_members, tenant).filter(role.isNull() | ~role.isin(*v.STAFF_ROLES))
-    return not_in(regular, "member_id", bot_ids(info_avatars, tenant), max_rows).select(
+    return not_in(regular, "member_id", bots).select(
         "member_id", "first_name", "last_name",
         full_name(F.col("first_name"), F.col("last_name")).alias("full_name"),
         "email_address", "state", "city", "country", "member_status", "avatar_url",

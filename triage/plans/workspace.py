@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from triage.operators import engagement, feedback, scoring, staging, tickets
+from triage.operators.joins import IdSet
 from triage.settings import Settings
 from triage.sources.reader import scan
 
@@ -62,24 +63,33 @@ class Workspace:
         return self.settings.broadcast_rows
 
     @cached_property
-    def excluded(self) -> DataFrame:
-        return staging.excluded_authors(self.inputs.core_members, self.inputs.info_avatars, self._tenant)
+    def staff(self) -> IdSet:
+        return IdSet.of(staging.staff_ids(self.inputs.core_members, self._tenant), self._bound)
+
+    @cached_property
+    def bots(self) -> IdSet:
+        return IdSet.of(staging.bot_ids(self.inputs.info_avatars, self._tenant), self._bound)
+
+    @cached_property
+    def excluded(self) -> IdSet:
+        """Authors whose items are not tickets: staff and bots, left out by one anti join."""
+        return IdSet.of(self.staff.ids.unionByName(self.bots.ids), self._bound)
 
     @cached_property
     def posts(self) -> DataFrame:
-        return staging.clean_posts(self.inputs.core_posts, self.excluded, self._tenant, self._bound)
+        return staging.clean_posts(self.inputs.core_posts, self.excluded, self._tenant)
 
     @cached_property
     def articles(self) -> DataFrame:
-        return staging.clean_articles(self.inputs.core_articles, self.excluded, self._tenant, self._bound)
+        return staging.clean_articles(self.inputs.core_articles, self.excluded, self._tenant)
 
     @cached_property
     def comments(self) -> DataFrame:
-        return staging.clean_comments(self.inputs.core_comments, self.excluded, self._tenant, self._bound)
+        return staging.clean_comments(self.inputs.core_comments, self.excluded, self._tenant)
 
     @cached_property
     def members(self) -> DataFrame:
-        return staging.members(self.inputs.core_members, self.inputs.info_avatars, self._tenant, self._bound)
+        return staging.members(self.inputs.core_members, self.bots, self._tenant)
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -101,8 +111,7 @@ class Workspace:
     @cached_property
     def engagement(self) -> DataFrame:
         i = self.inputs
-        return engagement.team_engagement(i.core_comments, i.core_reactions, i.core_members,
-                                          self._tenant, self._bound)
+        return engagement.team_engagement(i.core_comments, i.core_reactions, self.staff, self._tenant)
 
     @cached_property
     def metadata(self) -> DataFrame:
@@ -135,10 +144,10 @@ class Workspace:
     def feedback(self) -> DataFrame:
         return feedback.classification_feedback(self.metadata, self.tickets)
 
-    @cached_property
-    def new_labels(self) -> DataFrame:
+    def new_labels(self, topic: Column | None = None) -> DataFrame:
+        """Labels for the questions that have none; by the built-in dictionary unless told otherwise."""
         pending = scoring.unlabelled_questions(self.content, self.labels)
-        return scoring.label_topics(pending, self.settings.now)
+        return scoring.label_topics(pending, self.settings.now, topic)
 
     def incremental_scores(self, stored: DataFrame) -> DataFrame:
         """Scores for the items ``stored`` lacks."""
