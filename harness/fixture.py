@@ -81,13 +81,14 @@ def tables(d: Dialect) -> dict[str, str]:
                    WHEN c_custkey % 25 IN (2, 3) THEN NULL ELSE 'member' END AS network_role,
               'standard' AS member_type,
               CASE WHEN c_custkey % 17 = 0 THEN 'inactive' ELSE 'Active' END AS member_status,
-              n_name AS state, n_name || '-' || CAST(c_custkey % 7 AS {d.text}) AS city, r_name AS country,
+              'State-' || CAST(c_nationkey AS {d.text}) AS state,
+              'City-' || CAST(c_nationkey AS {d.text}) || '-' || CAST(c_custkey % 7 AS {d.text}) AS city,
+              'Country-' || CAST(c_nationkey % 5 AS {d.text}) AS country,
               CAST(NULL AS {d.text}) AS avatar_url,
               {d.after(f'c_custkey * 7919 % {MONTH}', '2023-01-01')} AS join_date,
               {d.after(f'c_custkey * 6271 % {MONTH}')} AS last_visited_network,
               'https://m.example.org/' || CAST(c_custkey AS {d.text}) AS permalink
-            FROM {d.t('customer')} JOIN {d.t('nation')} ON c_nationkey = n_nationkey
-              JOIN {d.t('region')} ON n_regionkey = r_regionkey""",
+            FROM {d.t('customer')}""",
         "info_avatars": f"""
             SELECT 'tenant_a' AS client_id, c_custkey AS member_id FROM {d.t('customer')} WHERE c_acctbal < -700""",
         "core_posts": f"""

@@ -1,7 +1,7 @@
 """Every registered query: an operator over the tables of ``fixture``.
 
-Views that a team reads all day come from stored tickets. They are written once per session and
-data folder to the session's shared folder and read back, as a cluster would.
+Views that a team reads all day come from stored content and tickets. Both are written once per
+session and data folder to the session's shared folder and read back, as a cluster would.
 """
 
 from __future__ import annotations
@@ -57,16 +57,22 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def served(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The pipeline over stored tickets."""
+    """The pipeline over stored content and tickets."""
     key, raw = _key(spark, sf_dir), workspace(spark, sf_dir)
     if key not in _served:
-        path = scratch(spark, "tickets")
-        raw.rebuilt_tickets.write.parquet(path)
-        stored = spark.read.schema(raw.rebuilt_tickets.schema).parquet(path)
-        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_tickets=stored)
+        content = _written(spark, "content", raw.content)
+        onward = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content)
+        stored = _written(spark, "tickets", onward.rebuilt_tickets)
+        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content, stored_tickets=stored)
     return _served[key]
 
 
+def _written(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/triage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

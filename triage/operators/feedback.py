@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triage import vocabulary as v
 from triage.functions import clock
 from triage.functions.text import is_blank, json_scalar, preview, trim_all
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, match_intervals
+from triage.operators.joins import DEFAULT_BROADCAST_ROWS, match_intervals, touched_days
 
 _VERSION_BLOCK = 1024
 
@@ -133,15 +133,16 @@ def version_stats(config: DataFrame, scores: DataFrame, feedback: DataFrame,
     """
     versions = version_intervals(config)
     spans = versions.select("version", F.col("created_at").alias("_start"), F.col("superseded_at").alias("_end"))
+    small = touched_days(spans, "_start", "_end") <= max_rows
 
     scored = match_intervals(
-        scores.select("classified_at", "is_question"), "classified_at", spans, "_start", "_end", max_rows
+        scores.select("classified_at", "is_question"), "classified_at", spans, "_start", "_end", small
     ).groupBy("version").agg(
         F.count("*").alias("classified_rows"),
         F.count_if(F.col("is_question")).alias("classified_as_question"),
     )
     flags = match_intervals(
-        feedback.select("flagged_at", "feedback_type"), "flagged_at", spans, "_start", "_end", max_rows
+        feedback.select("flagged_at", "feedback_type"), "flagged_at", spans, "_start", "_end", small
     ).groupBy("version").agg(
         F.count_if(F.col("feedback_type") == "not_a_question").alias("false_positives"),
         F.count_if(F.col("feedback_type") == "confirmed_question").alias("confirmed_questions"),

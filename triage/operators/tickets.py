@@ -56,12 +56,16 @@ def member_assignments(content: DataFrame, metadata: DataFrame, overrides: DataF
 
 
 def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metadata: DataFrame,
-            labels: DataFrame, assignments: DataFrame) -> DataFrame:
+            labels: DataFrame, assignments: DataFrame, many_members: bool = False) -> DataFrame:
     """Star of left joins around the content.
 
     Everything keyed by ``content_id`` is joined first, so one exchange of the content serves
     the three of them. What is keyed by member is put together beforehand and joined once; an
     author outside the member table keeps NULL profile fields but still gets the coach.
+
+    With ``many_members`` the member side cannot be broadcast. It is then joined to the two ids
+    of each item, and the result to the content by item: ids and profiles travel to the bodies,
+    which move once, and a prolific author's bodies never gather under one key.
     """
     profile = members.select(
         "member_id", F.col("full_name").alias("member_name"), "first_name", "last_name",
@@ -83,8 +87,13 @@ def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metad
         .join(engagement, "content_id", "left")
         .join(edits, "content_id", "left")
         .join(topics, "content_id", "left")
-        .join(people, "_author", "left")
     )
+    if many_members:
+        authors = content.select("content_id", F.col("member_id").alias("_author"))
+        by_item = authors.filter(F.col("_author").isNotNull()).distinct().join(people, "_author")
+        joined = joined.join(by_item, ["content_id", "_author"], "left")
+    else:
+        joined = joined.join(people, "_author", "left")
     engaged = rules.staff_engaged(*(F.col(s) for s in SIGNALS))
     return (
         joined.withColumn("ticket_status",

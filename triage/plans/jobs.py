@@ -27,7 +27,8 @@ def refresh_tickets(ws: Workspace, spark: SparkSession, root: str, *, content: D
     """Only what an edit of an assignee changes: assignments and tickets."""
     assigned = _replaced(spark, f"{root}/member_assignments", tickets.member_assignments(
         content, ws.metadata, ws.inputs.member_assignment_overrides))
-    rows = tickets.tickets(content, people, engaged, ws.metadata, ws.labels, assigned)
+    rows = tickets.tickets(content, people, engaged, ws.metadata, ws.labels, assigned,
+                           many_members=ws.many_members)
     return _replaced(spark, f"{root}/tickets", rows, by_day=True)
 
 

@@ -6,12 +6,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triage.operators import engagement, feedback, scoring, staging, tickets
-from triage.operators.joins import IdSet
+from triage.operators.joins import IdSet, is_small
 from triage.settings import Settings
 from triage.sources.reader import scan
 
+# Ids that take the room of one member profile.
+PROFILE_WIDTH = 20
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -48,11 +52,11 @@ class Workspace:
     """Each table of the pipeline, built on first use. Nothing runs but the size checks."""
 
     def __init__(self, inputs: Inputs, settings: Settings, rule: Rule | None = None,
-                 stored_tickets: DataFrame | None = None):
+                 stored_content: DataFrame | None = None, stored_tickets: DataFrame | None = None):
         if inputs.question_scores is None and rule is None:
             raise ValueError("either stored scores or a rule is needed")
         self.inputs, self.settings, self.rule = inputs, settings, rule
-        self._stored_tickets = stored_tickets
+        self._stored_content, self._stored_tickets = stored_content, stored_tickets
 
     @property
     def _tenant(self) -> str:
@@ -99,11 +103,15 @@ class Workspace:
     def scores(self) -> DataFrame:
         if self.inputs.question_scores is not None:
             return self.inputs.question_scores
+        if self._stored_content is not None:
+            return scoring.score(self._stored_content, F.col("is_question"), self.rule.classified_at)
         return scoring.score(self.candidates, self.rule.is_question, self.rule.classified_at)
 
     @cached_property
     def content(self) -> DataFrame:
         """Scored items. With a rule the score is one more column: no second scan, no join."""
+        if self._stored_content is not None:
+            return self._stored_content
         if self.inputs.question_scores is not None:
             return scoring.scored_content(self.candidates, self.inputs.question_scores)
         return self.candidates.withColumn("is_question", self.rule.is_question)
@@ -129,7 +137,13 @@ class Workspace:
     @cached_property
     def rebuilt_tickets(self) -> DataFrame:
         return tickets.tickets(self.content, self.members, self.engagement, self.metadata,
-                               self.labels, self.assignments)
+                               self.labels, self.assignments, many_members=self.many_members)
+
+    @cached_property
+    def many_members(self) -> bool:
+        """Profiles are wider than ids, so their bound is a fraction of it."""
+        people = staging.of_tenant(self.inputs.core_members, self._tenant)
+        return not is_small(people, self._bound // PROFILE_WIDTH)
 
     @property
     def tickets(self) -> DataFrame:

@@ -39,6 +39,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Rows laid out by content_id need no second exchange for a join on it and more columns.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
 
 
