@@ -1,16 +1,18 @@
 """Parquet tables that can be replaced and upserted without touching what readers read.
 
-Every change writes a new batch folder and then adds rows to a small manifest; a batch counts
-from the moment its manifest rows are there. A job that dies before that leaves the table as it
-was, and its successor writes the same batch again. One writer per table at a time.
+Every change writes a new folder and then one manifest file that says which folder holds which
+day; the change counts from the moment that file is there. A job that dies before it leaves the
+table as it was, and its folder is never read. One writer per table at a time.
 
 With ``by_day`` rows lie in one folder per creation day, and an upsert rewrites only the days it
 touches. Without it, each change writes the whole table, which suits the narrow edit tables.
+The manifest is the only thing the driver reads: one row per day, however many rows a day has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Collection, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,7 @@ from triage.operators import edits
 from triage.operators.joins import broadcast_if_small
 from triage.schemas import schema_of
 
-_MANIFEST = schema_of("batch bigint, day string, commit_key string")
+_MANIFEST = schema_of("version bigint, folder string, day string, filled boolean, commit_key string")
 _UNDATED = "undated"
 _WHOLE = "all"
 
@@ -35,6 +37,11 @@ class VersionedTable:
 
     # -- reading -------------------------------------------------------------------------------
 
+    def read(self, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+        """Current rows; with bounds, only the folders of days within them are opened."""
+        days = [d for d in self._live() if (first_day is None or d >= first_day) and (last_day is None or d <= last_day)]
+        return self._rows(days).drop("day")
+
     def _manifest(self) -> DataFrame:
         try:
             return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
@@ -43,25 +50,20 @@ class VersionedTable:
                 raise
             return self.spark.createDataFrame([], _MANIFEST)
 
-    def _days(self) -> DataFrame:
-        """The batch that holds each day now."""
-        return self._manifest().groupBy("day").agg(F.max("batch").alias("batch"))
-
-    def _last_batch(self) -> int:
-        return self._manifest().agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0]
-
-    def _stored(self) -> DataFrame:
-        """Current rows with their ``day``; the batch and day pairs prune the folders read."""
-        layout = T.StructType(self.schema.fields + [T.StructField("batch", T.LongType()),
-                                                    T.StructField("day", T.StringType())])
-        if self._last_batch() == 0:
-            return self.spark.createDataFrame([], layout).drop("batch")
-        rows = self.spark.read.schema(layout).parquet(f"{self.root}/data")
-        current = broadcast_if_small(self._days())
-        return rows.join(current, ["batch", "day"], "left_semi").drop("batch")
-
-    def read(self) -> DataFrame:
-        return self._stored().drop("day")
+    def _live(self) -> dict[str, str]:
+        """Day -> the folder that holds it now."""
+        newest = self._manifest().groupBy("day").agg(F.max_by(F.struct("folder", "filled"), "version").alias("now"))
+        return {r.day: r.now.folder for r in newest.filter("now.filled").collect()}
+
+    def _rows(self, days: Collection[str]) -> DataFrame:
+        live = self._live()
+        layout = T.StructType([*self.schema.fields, T.StructField("folder", T.StringType()),
+                               T.StructField("day", T.StringType())])
+        paths = [f"{self.root}/data/folder={live[d]}/day={d}" for d in sorted(set(days) & live.keys())]
+        if not paths:
+            return self.spark.createDataFrame([], layout).drop("folder")
+        reader = self.spark.read.schema(layout).option("basePath", f"{self.root}/data")
+        return reader.parquet(*paths).drop("folder")
 
     # -- writing -------------------------------------------------------------------------------
 
@@ -69,12 +71,8 @@ class VersionedTable:
         """The table becomes ``rows``."""
         if self._committed(commit_key):
             return False
-        rows = self._with_day(edits.require(rows, self.schema))
-        batch = self._last_batch() + 1
-        self._write(rows, batch)
-        # Days that are gone get a manifest row too, so that their old folders no longer count.
-        written = self._written_days(batch)
-        self._commit(self._manifest().select("day").union(written).distinct(), batch, commit_key)
+        before = set(self._live())
+        self._publish(rows, before, commit_key)
         return True
 
     def upsert(self, changes: DataFrame, key: str, order: Sequence[Column] | None = None,
@@ -86,58 +84,50 @@ class VersionedTable:
         # The changes are read for their keys, their days and themselves.
         changes = changes.persist()
         try:
-            self._merge(changes, key, order, commit_key, key_moves)
+            touched = self._touched(changes, key, key_moves)
+            merged = edits.upsert(self._rows(touched).drop("day"), changes, key, order)
+            self._publish(merged, touched, commit_key)
         finally:
             changes.unpersist()
         return True
 
-    def _merge(self, changes: DataFrame, key: str, order: Sequence[Column] | None,
-               commit_key: str | None, key_moves: bool) -> None:
-        batch = self._last_batch() + 1
-        stored = self._stored()
-        if self.by_day:
-            touched = self._with_day(changes).select("day")
-            if key_moves:
-                moved = stored.select(key, "day").join(
-                    broadcast_if_small(changes.select(key)), key, "left_semi").select("day")
-                touched = touched.union(moved)
-            touched = touched.distinct()
-            stored = stored.join(broadcast_if_small(touched), "day", "left_semi")
-        else:
-            touched = self.spark.createDataFrame([(_WHOLE,)], "day string")
-        merged = edits.upsert(stored.drop("day"), changes, key, order)
-        self._write(self._with_day(edits.require(merged, self.schema)), batch)
-        self._commit(touched, batch, commit_key)
-
     def delete(self, doomed: DataFrame, key: str, commit_key: str | None = None) -> bool:
         return self.replace(edits.delete(self.read(), doomed, key), commit_key)
 
     # -- parts ---------------------------------------------------------------------------------
 
-    def _with_day(self, rows: DataFrame) -> DataFrame:
+    def _touched(self, changes: DataFrame, key: str, key_moves: bool) -> set[str]:
+        """Days an upsert rewrites: those of the changes and those their keys lie in now."""
         if not self.by_day:
-            return rows.withColumn("day", F.lit(_WHOLE))
-        day = F.coalesce(F.to_date("created_at").cast("string"), F.lit(_UNDATED))
-        return rows.withColumn("day", day)
+            return {_WHOLE}
+        days = self._with_day(changes).select("day")
+        if key_moves:
+            keys = broadcast_if_small(changes.select(key))
+            days = days.union(self._rows(self._live()).join(keys, key, "left_semi").select("day"))
+        return {r.day for r in days.distinct().collect()}
 
-    def _write(self, rows: DataFrame, batch: int) -> None:
-        writer = rows.write.mode("overwrite").partitionBy("day")
-        writer.parquet(f"{self.root}/data/batch={batch}")
-
-    def _written_days(self, batch: int) -> DataFrame:
-        layout = T.StructType(self.schema.fields + [T.StructField("day", T.StringType())])
-        written = self.spark.read.schema(layout).parquet(f"{self.root}/data/batch={batch}").select("day")
+    def _with_day(self, rows: DataFrame) -> DataFrame:
         if not self.by_day:
-            return self.spark.createDataFrame([(_WHOLE,)], "day string")
-        return written.distinct()
+            return rows.withColumn("day", F.lit(_WHOLE))
+        return rows.withColumn("day", F.coalesce(F.to_date("created_at").cast("string"), F.lit(_UNDATED)))
+
+    def _publish(self, rows: DataFrame, days: set[str], commit_key: str | None) -> None:
+        """Write the rows, then the one manifest file; ``days`` without rows become empty."""
+        folder = uuid.uuid4().hex
+        path = f"{self.root}/data/folder={folder}"
+        self._with_day(edits.require(rows, self.schema)).write.partitionBy("day").parquet(path)
+        layout = T.StructType([*self.schema.fields, T.StructField("day", T.StringType())])
+        filled = {r.day for r in self.spark.read.schema(layout).parquet(path).select("day").distinct().collect()}
+        version = self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
+        entries = [(version, folder, day, day in filled, commit_key) for day in sorted(days | filled)]
+        # A commit that changes no day still records its key; the blank day is never filled.
+        self._commit(entries or [(version, folder, "", False, commit_key)])
+
+    def _commit(self, entries: list[tuple]) -> None:
+        rows = self.spark.createDataFrame(entries, _MANIFEST)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
     def _committed(self, commit_key: str | None) -> bool:
         if commit_key is None:
             return False
         return not self._manifest().filter(F.col("commit_key") == commit_key).isEmpty()
-
-    def _commit(self, days: DataFrame, batch: int, commit_key: str | None) -> None:
-        """One file, so that the batch appears at once or not at all."""
-        rows = days.select(F.lit(batch).cast("bigint").alias("batch"), "day",
-                           F.lit(commit_key).cast("string").alias("commit_key"))
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
