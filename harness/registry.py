@@ -327,8 +327,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_metadata": _raw(lambda ws: ws.metadata),
         "member_assignments": _raw(lambda ws: ws.assignments),
         "tickets": _raw(lambda ws: ws.rebuilt_tickets),
-        "topic_labels": _raw(_topic_labels),
-        "topic_responses": _raw(_topic_responses),
+        "topic_labels": _view(_topic_labels),
+        "topic_responses": _view(_topic_responses),
         # Views over live tickets
         "live_tickets": _view(lambda ws: ws.live),
         "ticket_queue": _queue(),

@@ -225,7 +225,7 @@ def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_member
             depth.cast("bigint").alias("depth"),
             reply_to.cast("bigint").alias("reply_to_id"),
             F.col(author).alias("author_id"),
-            strip_html(F.coalesce(F.col(text), F.lit(""))).alias("body"),
+            F.col(text).alias("_text"),
             "permalink", "created_at",
         )
 
@@ -249,16 +249,15 @@ def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_member
         trim_all(full_name(F.col("first_name"), F.col("last_name"))).alias("_name"),
         F.col("network_role").isin(*v.STAFF_ROLES).alias("_staff"),
     )
-    return (
-        items.join(people, "author_id", "left")
-        .select(
-            "thread_id", "content_id", "content_type", "depth", "reply_to_id", "author_id",
-            F.coalesce("_name", F.lit("")).alias("author_name"),
-            F.when(F.col("_staff"), "team").otherwise("member").alias("author_type"),
-            "body", "permalink", "created_at",
-        )
-        .orderBy("thread_id", F.col("created_at").asc_nulls_first(), F.col("depth").asc_nulls_first(),
-                 "content_id")
+    ordered = items.join(people, "author_id", "left").orderBy(
+        "thread_id", F.col("created_at").asc_nulls_first(), F.col("depth").asc_nulls_first(), "content_id"
+    )
+    # Texts are cleaned above the sort: its sampling pass reads the rows once more.
+    return ordered.select(
+        "thread_id", "content_id", "content_type", "depth", "reply_to_id", "author_id",
+        F.coalesce("_name", F.lit("")).alias("author_name"),
+        F.when(F.col("_staff"), "team").otherwise("member").alias("author_type"),
+        strip_html(F.coalesce("_text", F.lit(""))).alias("body"), "permalink", "created_at",
     )
 
 

@@ -115,7 +115,11 @@ class VersionedTable:
         """Write the rows, then the one manifest file; ``days`` without rows become empty."""
         folder = uuid.uuid4().hex
         path = f"{self.root}/data/folder={folder}"
-        self._with_day(edits.require(rows, self.schema)).write.partitionBy("day").parquet(path)
+        dated = self._with_day(edits.require(rows, self.schema))
+        if self.by_day:
+            # Few files per day, while adaptive execution splits a day that is too large for one task.
+            dated = dated.hint("rebalance", "day")
+        dated.write.partitionBy("day").parquet(path)
         layout = T.StructType([*self.schema.fields, T.StructField("day", T.StringType())])
         filled = {r.day for r in self.spark.read.schema(layout).parquet(path).select("day").distinct().collect()}
         version = self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
