@@ -90,7 +90,7 @@ def _view(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def _queue(**wanted) -> Callable[[SparkSession, str], DataFrame]:
-    return _view(lambda ws: queues.ticket_queue(ws.live, SETTINGS.now, QueueFilter(**wanted)))
+    return _view(lambda ws: queues.ticket_queue(ws.tickets, _log(ws), SETTINGS.now, QueueFilter(**wanted)))
 
 
 def _period(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -136,7 +136,7 @@ def _ticket_urgency(ws: Workspace) -> DataFrame:
 
 
 def _member_threads(ws: Workspace) -> DataFrame:
-    return queues.member_thread_tickets(ws.live, SETTINGS.now, _pairs(ws))
+    return queues.member_thread_tickets(ws.tickets, _log(ws), SETTINGS.now, _pairs(ws))
 
 
 def _thread_timeline(ws: Workspace) -> DataFrame:
@@ -342,14 +342,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tickets_this_month": _period("this month"),
         "ticket_urgency": _view(_ticket_urgency),
         "ticket_detail": _view(lambda ws: queues.ticket_detail(
-            tickets.overlay(ws.tickets, _log(ws)), SETTINGS.now, ws.inputs.ticket_comments)),
+            ws.tickets, _log(ws), SETTINGS.now, ws.inputs.ticket_comments)),
         "member_history": _view(lambda ws: queues.member_history(ws.tickets)),
         "member_thread_tickets": _view(_member_threads),
         "member_thread_split": _view(lambda ws: queues.split_open(_member_threads(ws))),
         "ticket_comments": _raw(lambda ws: queues.ticket_comments(ws.inputs.ticket_comments)),
         "review_queue": _view(lambda ws: queues.review_queue(ws.tickets)),
         "review_progress": _view(lambda ws: queues.review_progress(ws.tickets)),
-        "queue_grouped": _view(lambda ws: queues.queue_grouped(queues.ticket_queue(ws.live, SETTINGS.now))),
+        "queue_grouped": _view(lambda ws: queues.queue_grouped(
+            ws.tickets, _log(ws), SETTINGS.now)),
         "coach_list": _raw(lambda ws: queues.coach_list(ws.inputs.coaches)),
         "coach_names": _raw(lambda ws: queues.coach_names(ws.inputs.coaches)),
         "member_search": _raw(lambda ws: queues.member_search(

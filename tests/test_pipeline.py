@@ -175,6 +175,39 @@ def test_live_overlay_of_older_columns(frame):
     assert values(live.select("ticket_status", "domain")) == [("open", None)]
 
 
+def full_tickets(frame, *rows):
+    """(content_id, created_at, ticket_status, body) with the other columns filled in."""
+    made = frame("content_id string, created_at timestamp_ntz, ticket_status string, body string", *rows)
+    flags = {c: F.lit(False) for c in ("team_commented", "team_comment_replied", "team_reacted")}
+    texts = {c: F.lit(None).cast("string") for c in ("assigned_to", "domain", "thread_id", "member_name", "permalink")}
+    return made.withColumns(flags | texts | {"member_id": F.lit(1).cast("bigint"), "ticket_updated_at": F.col("created_at")})
+
+
+def test_queue_fetches_the_body_of_the_newest_copy(frame):
+    day = dt.timedelta(days=1)
+    rows = full_tickets(frame, ("a", T0, "open", "new" * 100), ("a", T0 - day, "open", "old"), ("b", None, "open", "undated"),
+                        ("b", None, "open", "undated"), ("c", T0, "not_a_question", "no"))
+    now = F.lit(NOW).cast("timestamp_ntz")
+    got = queues.ticket_queue(rows, edit_log(frame), now)
+    assert [(r.content_id, r.body, len(r.body_preview), r.urgency) for r in got.collect()] == [
+        ("a", "new" * 100, 120, "critical"), ("b", "undated", 7, "critical")]
+    assert queues.queue_grouped(rows, edit_log(frame), now).count() == 2
+
+
+def test_queue_conditions(frame):
+    rows = full_tickets(frame, ("a", T0, "open", "x"), ("b", T0, "confirmed_question", "x"), ("c", T0, "not_a_question", "x"))
+    now = F.lit(NOW).cast("timestamp_ntz")
+    log = edit_log(frame, ("a", "closed", "Ann", "Other", None, T0), ("b", "confirmed_question", None, None, None, T0))
+
+    def found(**wanted):
+        return sorted(r.content_id for r in queues.ticket_queue(rows, log, now, queues.QueueFilter(**wanted)).collect())
+
+    assert found() == found(status="All", assignee="All", urgency="All", domain="All", member_id="") == ["a"]
+    assert found(status="not_a_question") == ["c"]
+    assert found(assignee="Ann") == found(domain="Other") == found(member_id="1") == found(urgency="Critical") == ["a"]
+    assert found(urgency="Normal") == found(assignee="O'Hara") == found(date_from="2024-01-11") == found(date_to="2024-01-09") == []
+
+
 def test_grouping_of_threads(frame):
     queue = frame("member_id bigint, thread_id string, content_id string, created_at timestamp_ntz, ticket_status string, "
                   "urgency string, member_name string, body_preview string, domain string, permalink string, assigned_to string",
@@ -183,7 +216,7 @@ def test_grouping_of_threads(frame):
                   (2, "t", "c", T0, "new", "urgent", "n", "x", None, None, None),
                   (1, None, "d", T0, "open", "normal", "m", "x", None, None, None),
                   (1, "", "e", T0, "open", "normal", "m", "x", None, None, None))
-    got = queues.queue_grouped(queue).select("newest_content_id", "tickets", "open_tickets", "worst_urgency")
+    got = queues.group_queue(queue).select("newest_content_id", "tickets", "open_tickets", "worst_urgency")
     assert values(got) == [("b", 2, 1, "critical"), ("c", 1, 1, "urgent"), ("d", 1, 1, "normal"), ("e", 1, 1, "normal")]
 
 

@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from triage import vocabulary as v
 from triage.functions import clock
 from triage.functions.text import is_blank, json_scalar, preview, trim_all
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, match_intervals, touched_days
+from triage.operators.joins import DEFAULT_BROADCAST_ROWS, is_small, match_intervals, touched_days
 
 _VERSION_BLOCK = 1024
 
 
-def classification_feedback(metadata: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Reviewed items with a reason (a blank one counts), week opening on Sunday."""
+def classification_feedback(metadata: DataFrame, tickets: DataFrame,
+                            max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Reviewed items with a reason (a blank one counts), week opening on Sunday.
+
+    People write the flags, so they are few beside the tickets; counted small they are
+    broadcast and the bodies of all other tickets stay where they are.
+    """
     flagged = metadata.filter(
         F.col("status").isin(*v.FEEDBACK_STATUSES) & F.col("feedback_reason").isNotNull()
     ).select(
         "content_id", F.col("status").alias("feedback_type"), "feedback_reason",
         F.col("updated_at").alias("flagged_at"), F.col("assigned_to").alias("flagged_by"),
     )
+    # A flag takes the room of some ten ids.
+    if is_small(flagged, max_rows // 10):
+        flagged = F.broadcast(flagged)
     items = tickets.select("content_id", "content_type", "body", "member_name",
                            F.col("created_at").alias("content_created_at"))
     return items.join(flagged, "content_id").select(

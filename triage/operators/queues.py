@@ -13,9 +13,9 @@ from triage.functions.status import is_open
 from triage.functions.text import (
     found_in, full_name, is_blank, prefixed, preview, strip_html, trim_all,
 )
-from triage.operators.joins import IdSet, not_in
+from triage.operators.joins import DEFAULT_BROADCAST_ROWS, IdSet, broadcast_if_small, not_in
 from triage.operators.staging import of_tenant
-from triage.operators.tickets import newest_first, oldest_first
+from triage.operators.tickets import live_tickets, newest_first, oldest_first, overlay
 
 
 @dataclass(frozen=True)
@@ -64,26 +64,35 @@ def with_list_columns(tickets: DataFrame, now: Column, length: int = v.LIST_PREV
     })
 
 
-def ticket_queue(live: DataFrame, now: Column, wanted: QueueFilter = QueueFilter()) -> DataFrame:
+def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column,
+                 wanted: QueueFilter = QueueFilter()) -> DataFrame:
     """Live tickets that meet every condition, newest first.
 
-    Conditions on stored columns (dates, member) move below the overlay join to the scan.
+    The overlay, the de-duplication and the conditions run without the bodies; only tickets that
+    are left fetch theirs, so a short list never shuffles the bodies of all tickets.
     """
-    kept = live
+    kept = live_tickets(stored.drop("body"), edits)
     for condition in wanted.conditions(now):
         kept = kept.filter(condition)
-    return with_list_columns(kept, now).drop("live_updated_at").orderBy(*newest_first())
+    bodies = stored.select("content_id", F.col("created_at").alias("_made"), "body")
+    same_row = (bodies["content_id"] == kept["content_id"]) & F.col("_made").eqNullSafe(kept["created_at"])
+    whole = kept.join(bodies, same_row).drop(bodies["content_id"], F.col("_made"), F.col("live_updated_at"))
+    return with_list_columns(whole.dropDuplicates(["content_id"]), now).orderBy(*newest_first())
 
 
-def ticket_detail(overlaid: DataFrame, now: Column, ids: DataFrame) -> DataFrame:
-    """Tickets of a set of ids, whole."""
-    wanted = overlaid.join(ids.select("content_id"), "content_id", "left_semi")
+def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame,
+                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Tickets of a set of ids, whole; both sides are narrowed before they meet."""
+    asked = broadcast_if_small(ids.select("content_id"), max_rows)
+    wanted = overlay(stored.join(asked, "content_id", "left_semi"), edits.join(asked, "content_id", "left_semi"))
     return wanted.withColumn("urgency", clock.urgency(F.col("created_at"), now)).drop("live_updated_at")
 
 
-def member_thread_tickets(live: DataFrame, now: Column, pairs: DataFrame) -> DataFrame:
+def member_thread_tickets(stored: DataFrame, edits: DataFrame, now: Column, pairs: DataFrame,
+                          max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Every ticket of the given (thread, member) pairs, whatever its status, oldest first."""
-    wanted = live.join(pairs.select("thread_id", "member_id"), ["thread_id", "member_id"], "left_semi")
+    asked = broadcast_if_small(pairs.select("thread_id", "member_id"), max_rows)
+    wanted = live_tickets(stored.join(asked, ["thread_id", "member_id"], "left_semi"), edits)
     return (
         with_list_columns(wanted, now, v.GROUP_PREVIEW)
         .drop("live_updated_at")
@@ -131,7 +140,14 @@ def review_progress(tickets: DataFrame) -> DataFrame:
     })
 
 
-def queue_grouped(queue: DataFrame) -> DataFrame:
+def queue_grouped(stored: DataFrame, edits: DataFrame, now: Column,
+                  wanted: QueueFilter = QueueFilter()) -> DataFrame:
+    """The queue with one row per member and thread; bodies are cut to previews at the scan."""
+    short = stored.withColumn("body", preview(F.col("body"), v.LIST_PREVIEW))
+    return group_queue(ticket_queue(short, edits, now, wanted))
+
+
+def group_queue(queue: DataFrame) -> DataFrame:
     """One row per member and thread, with what its newest ticket shows.
 
     A ticket without a thread stands alone. Every aggregate combines on the map side, and only

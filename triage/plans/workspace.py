@@ -156,7 +156,7 @@ class Workspace:
 
     @cached_property
     def feedback(self) -> DataFrame:
-        return feedback.classification_feedback(self.metadata, self.tickets)
+        return feedback.classification_feedback(self.metadata, self.tickets, self._bound)
 
     def new_labels(self, topic: Column | None = None) -> DataFrame:
         """Labels for the questions that have none; by the built-in dictionary unless told otherwise."""
