@@ -20,7 +20,7 @@ from triage.operators.queues import QueueFilter
 from triage.plans.jobs import ingest
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
-from triage.settings import Settings, shared_dir
+from triage.settings import Settings, shared_dir, tune
 from triage.sources import reader
 from triage.sources.store import VersionedTable
 from triage.streaming.streams import append_stream, read_files, upsert_stream
@@ -49,7 +49,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The whole pipeline from raw tables, nothing stored."""
     key = _key(spark, sf_dir)
     if key not in _workspaces:
-        made = spark_tables(spark, sf_dir)
+        made = spark_tables(tune(spark), sf_dir)
         made["ticket_metadata"] = made.pop("ticket_metadata_log")
         _responses[key] = made.pop("prompt_responses")
         _workspaces[key] = Workspace(Inputs(**made), SETTINGS, rule())

@@ -22,8 +22,9 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, order: Sequence[Colu
     """
     if order is None:
         order = [F.col(c).desc_nulls_last() for c in changes.columns if c != key]
-    changes = latest_per_key(changes, [key], order)
+    # Repeated keys do no harm in semi and anti joins, and finding the newest may be costly.
     keys = changes.select(key)
+    changes = latest_per_key(changes, [key], order)
     kept = [c for c in stored.columns if c not in changes.columns]
     if not kept:
         untouched = stored.join(broadcast_if_small(keys, max_rows), key, "left_anti")

@@ -32,16 +32,30 @@ class Settings:
         return F.to_date(self.now)
 
 
+# Session settings the jobs are written for; sizes and parallelism stay with the cluster.
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Once the true partition sizes are known, narrow sides are hashed and bodies are not sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Rows laid out by content_id need no second exchange for a join on it and more columns.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Session settings the jobs are written for; sizes stay with the cluster."""
-    return (
-        builder.config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        # Rows laid out by content_id need no second exchange for a join on it and more columns.
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    )
+    for name, value in SESSION.items():
+        builder = builder.config(name, value)
+    return builder
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The same for a session that exists already; all of these may change while it runs."""
+    for name, value in SESSION.items():
+        spark.conf.set(name, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
