@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,18 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Words between the ASCII white space characters.
+WORDS = r"[^\x20\x09-\x0D]+"
 # Rows handed to one call of a task function; texts can be long.
 SLICE_ROWS = 256
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, A_TO_Z, A_TO_Z.lower())
-
-
-def words_pattern() -> str:
-    """Words between the ASCII white space characters."""
-    return r"[^\x20\x09-\x0D]+"
+def word_count(text: Column) -> Column:
+    """Words between ASCII white space; null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def per_batch(rows: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
@@ -59,18 +57,29 @@ def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
     return [(n, ARROW[t]) for n, t in (part.strip().split(" ", 1) for part in schema.split(","))]
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it.
 
     A folder of our own is set only where the session has none, as in tests on one machine.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    _checkpoint_dir(rows.sparkSession)
     return rows.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name below the shared one."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_pattern
+from .common import cut, word_count
 
 OTHER = "(other)"
 # Bound on named sources x languages x topics.
@@ -26,11 +26,6 @@ ROUNDS = 500
 LOST = 0.01
 
 
-def word_count(text: Column) -> Column:
-    """Words between ASCII white space; null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(words_pattern())), F.lit(0)).cast("long")
-
-
 def form_topic(text: Column, words: Column) -> Column:
     """A topic told from a text's form: tables, symbol noise, or prose by length in words."""
     return (F.when(F.coalesce(text.contains(" | "), F.lit(False)), "table")
