@@ -141,11 +141,12 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     ranked = [(label, sorted(ws, key=rank.get), math.ceil(threshold * len(ws) - 1e-9)) for label, ws in sets]
     prefixes = sorted({w for _, ws, need in ranked for w in ws[: len(ws) - need + 1]}, key=rank.get)
 
+    none = F.array().cast("array<struct<label:string,share:double>>")
     columns = [f"_p{k}" for k in range(len(asked))]
     found = texts.select("id", F.size("words").cast("long").alias("n_words"), *[
         _places(F.col("words"), words, sorted(set(words), key=rank.get)).alias(c) for c, (words, _) in zip(columns, asked)],
-        F.when(F.arrays_overlap("words", _literal(prefixes)), _matches(F.col("low"), ranked, order)).otherwise(
-            F.array().cast("array<struct<label:string,share:double>>")).alias("_met"))
+        F.when(F.arrays_overlap("words", _literal(prefixes)), _matches(F.col("low"), ranked, order)).otherwise(none).alias("_met")
+        if ranked else none.alias("_met"))
     places = F.concat(F.array().cast("array<int>"), *columns)
     base = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array().cast("array<string>"), *[
         F.array(F.when(F.size(c) > 0, label)) for c, (_, label) in zip(columns, asked)]))))
