@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
 from triage.functions import clock
-from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets
+from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, training
 from triage.operators.queues import QueueFilter
 from triage.plans.jobs import ingest
 from triage.plans.workspace import Inputs, Rule, Workspace
@@ -168,7 +168,7 @@ def _column_audit(ws: Workspace) -> DataFrame:
 
 
 def _closed_without_comment(ws: Workspace) -> DataFrame:
-    return reports.closed_without_comment(ws.tickets, ws.metadata)
+    return reports.closed_without_comment(ws.tickets, _log(ws), ws.content)
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +205,7 @@ def _topic_responses(ws: Workspace) -> DataFrame:
 def _upsert_metadata(ws: Workspace) -> DataFrame:
     late = F.col("updated_at") >= F.lit(STORED_UNTIL).cast("timestamp_ntz")
     stored = tickets.latest_metadata(_log(ws).filter(~late))
-    order = [F.col(c).desc_nulls_last() for c in ("updated_at", "status", "assigned_to", "domain", "feedback_reason")]
-    return edits.upsert(stored, _log(ws).filter(late), "content_id", order)
+    return edits.upsert(stored, _log(ws).filter(late), "content_id", tickets.EDIT_ORDER)
 
 
 def _upsert_assignee(ws: Workspace) -> DataFrame:
@@ -254,8 +253,6 @@ def _incremental_posts(ws: Workspace) -> DataFrame:
 
 def _incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First the old items, then all newer ones, into a table with one folder per day."""
-
-
     ws = workspace(spark, sf_dir)
     table = VersionedTable(spark, scratch(spark, "content"), _content_schema(ws.candidates), by_day=True)
     table.replace(ws.candidates.filter(F.col("created_at") < F.lit(STORED_UNTIL).cast("timestamp_ntz")))
@@ -273,38 +270,46 @@ def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = upsert_stream(
         stream, table, "content_id", f"{out}-checkpoint", f"posts_{uuid.uuid4().hex}",
         transform=lambda rows: staging.clean_posts(rows, ws.excluded, TENANT),
-        order=[F.col("updated_at").desc_nulls_last()])
+        order=["updated_at"], key_moves=False)
     query.awaitTermination()
     return table.read()
 
 
+def _newest_come_first(rows: DataFrame, at: str) -> list[DataFrame]:
+    """Three deliveries: the latest days, the days before them, then the earliest and undated rows."""
+    day = F.to_date(at)
+    late, middle = day >= F.lit("2024-01-21").cast("date"), day >= F.lit("2024-01-11").cast("date")
+    return [rows.filter(late), rows.filter(middle & ~late), rows.filter(~middle | day.isNull())]
+
+
 def _stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits arrive in three deliveries, the newest first; a run takes each."""
     ws = workspace(spark, sf_dir)
     landing, out = scratch(spark, "landing"), scratch(spark, "metadata")
-    _log(ws).write.parquet(landing)
     schema = _content_schema(_log(ws))
     table = VersionedTable(spark, out, schema)
-    order = [F.col(c).desc_nulls_last() for c in ("updated_at", "status", "assigned_to", "domain", "feedback_reason")]
-    query = upsert_stream(read_files(spark, landing, schema), table, "content_id",
-                          f"{out}-checkpoint", f"edits_{uuid.uuid4().hex}", order=order)
-    query.awaitTermination()
+    for part in _newest_come_first(_log(ws), "updated_at"):
+        part.write.mode("append").parquet(landing)
+        upsert_stream(read_files(spark, landing, schema), table, "content_id", f"{out}-checkpoint", "edits",
+                      order=tickets.EDIT_ORDER).awaitTermination()
     return table.read()
 
 
 def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes arrive twice over; each is appended once."""
+    """Notes arrive in three deliveries, the newest first, and then all of them once more."""
     notes = workspace(spark, sf_dir).inputs.ticket_comments
     landing, out = scratch(spark, "landing"), scratch(spark, "notes")
-    notes.unionByName(notes).write.parquet(landing)
-    stream = read_files(spark, landing, notes.schema)
-    append_stream(stream, "comment_id", out, f"{out}-checkpoint").awaitTermination()
+    for part in [*_newest_come_first(notes, "created_at"), notes]:
+        part.write.mode("append").parquet(landing)
+        stream = read_files(spark, landing, notes.schema)
+        append_stream(stream, "comment_id", out, f"{out}-checkpoint").awaitTermination()
     return spark.read.schema(notes.schema).parquet(out)
 
 
-def _scorer_train_eval(ws: Workspace) -> DataFrame:
-    from triage.operators.training import train_and_evaluate
-
-    return train_and_evaluate(ws.feedback)
+def _metadata_migration(ws: Workspace) -> DataFrame:
+    """A table from before topics and difficulties gets both columns; notes of reviews are dropped."""
+    old = edits.without_columns(ws.metadata, "domain")
+    return edits.without_columns(edits.with_columns_of(old, TABLES["ticket_metadata"]), "feedback_reason")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -329,6 +334,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tickets": _raw(lambda ws: ws.rebuilt_tickets),
         "topic_labels": _view(_topic_labels),
         "topic_responses": _view(_topic_responses),
+        "label_inputs": _view(lambda ws: scoring.label_inputs(scoring.unlabelled_questions(ws.content, ws.labels))),
         # Views over live tickets
         "live_tickets": _view(lambda ws: ws.live),
         "ticket_queue": _queue(),
@@ -386,13 +392,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "version_stats": _view(_version_stats),
         "prompt_proposals": lambda spark, sf_dir: feedback.parse_proposals(_proposals(spark, sf_dir)),
         "prompt_rollforward": _rollforward,
-        "scorer_train_eval": _view(_scorer_train_eval),
+        "scorer_quality": _view(lambda ws: training.stored_quality(ws.inputs.prompt_config, ws.scores, ws.feedback)),
         # Changes to stored tables
         "upsert_metadata": _raw(_upsert_metadata),
         "upsert_assignee_partial": _raw(_upsert_assignee),
         "upsert_override": _raw(_upsert_override),
         "bulk_status_update": _view(_bulk_status_update),
         "delete_coach": _raw(_delete_coach),
+        "metadata_migration": _raw(_metadata_migration),
         "append_events": _append_events,
         # Streams
         "stream_posts": _stream_posts,

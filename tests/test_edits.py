@@ -12,24 +12,27 @@ rows_ = st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9), st.integers(0,
 
 
 @QUICK
-@given(stored=st.dictionaries(st.integers(0, 5), st.integers(0, 9), max_size=5), changes=rows_, bound=st.sampled_from([0, 100]))
-def test_upsert_last_write_wins_and_repeats_harmlessly(frame, stored, changes, bound):
-    old = frame("k bigint, t bigint, v bigint", *[(k, 0, v) for k, v in stored.items()])
-    new = frame("k bigint, t bigint, v bigint", *changes)
-    order = [F.col("t").desc(), F.col("v").desc()]
-    once = edits.upsert(old, new, "k", order, bound)
-    want = {k: (0, v) for k, v in stored.items()}
-    for k in {c[0] for c in changes}:
-        want[k] = max((t, v) for c, t, v in changes if c == k)
+@given(stored=st.dictionaries(st.integers(0, 5), st.integers(0, 9), max_size=5), changes=rows_, cut=st.integers(0, 8))
+def test_upsert_newest_wins_however_changes_are_split(frame, stored, changes, cut):
+    old = frame("k bigint, t bigint, v bigint", *[(k, 4, v) for k, v in stored.items()])
+    new = lambda rows: frame("k bigint, t bigint, v bigint", *rows)
+    once = edits.upsert(old, new(changes), "k", ["t", "v"])
+    everything = [(k, 4, v) for k, v in stored.items()] + changes
+    want = {k: max((t, v) for c, t, v in everything if c == k) for k, _, _ in everything}
     assert values(once) == sorted([(k, *tv) for k, tv in want.items()], key=repr)
-    assert values(edits.upsert(once, new, "k", order, bound)) == values(once)
+    split = edits.upsert(edits.upsert(old, new(changes[cut:]), "k", ["t", "v"]), new(changes[:cut]), "k", ["t", "v"])
+    assert values(split) == values(once)
 
 
-@pytest.mark.parametrize("bound", [0, 100])
-def test_partial_upsert_keeps_other_columns(frame, bound):
+def test_without_order_a_change_replaces(frame):
+    old = frame("k string, t bigint", ("a", 9), ("b", 1))
+    assert values(edits.upsert(old, frame("k string, t bigint", ("a", 3), ("a", 5)), "k")) == [("a", 5), ("b", 1)]
+
+
+def test_partial_upsert_keeps_other_columns(frame):
     old = frame("k string, status string, who string", ("a", "open", "x"), ("b", None, "y"))
     new = frame("k string, who string", ("a", None), ("c", "z"))
-    got = edits.upsert(old, new, "k", max_rows=bound)
+    got = edits.upsert(old, new, "k")
     assert values(got) == sorted([("a", "open", None), ("b", None, "y"), ("c", None, "z")], key=repr)
 
 

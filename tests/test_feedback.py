@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import at, values
@@ -143,14 +144,21 @@ def test_response_summary_of_nothing_and_of_ties(frame):
 
 
 def test_closing_without_a_comment_is_logged_once(frame):
-    live = frame("content_id string, ticket_status string, team_commented boolean, member_id bigint, domain string",
-                 ("a", "open", False, 7, None), ("b", "open", True, 7, None), ("c", "closed", False, 7, "d"),
-                 ("e", "open", False, None, "d"))
-    edits = frame("content_id string, status string, updated_at timestamp_ntz",
-                  ("a", "closed", T0), ("b", "closed", T0), ("c", "closed", T0), ("e", "cancelled", T0), ("a", "assigned", T0))
-    got = reports.closed_without_comment(live, edits)
-    assert values(got.select("detail")) == [("member_id=7 domain=None",), ("member_id=None domain=d",)]
-    assert values(got.select("log_id")) == values(reports.closed_without_comment(live, edits).select("log_id"))
+    items = [(k, k == "b", k == "r", False, None if k == "e" else 7, "d") for k in "abcernq"]
+    tickets = frame("content_id string, team_commented boolean, team_comment_replied boolean, team_reacted boolean, "
+                    "member_id bigint, domain string", *items)
+    scores = frame("content_id string, is_question boolean", *[(k, k != "n") for k in "abcern"])
+    log = "content_id string, updated_at timestamp_ntz, status string, assigned_to string, domain string, feedback_reason string"
+    day = lambda n: T0 + dt.timedelta(days=n)
+    edits = frame(log, *[(k, day(n), s, None, None, None) for k, n, s in (
+        ("a", 1, "assigned"), ("a", 2, "closed"), ("a", 3, "closed"), ("a", 4, "open"), ("a", 5, "cancelled"),
+        ("b", 1, "closed"), ("c", 1, ""), ("c", 2, "closed"), ("e", 1, "cancelled"), ("r", 1, "closed"), ("n", 1, "closed"),
+        ("q", 1, "closed"), ("gone", 1, "closed"))])
+    got = reports.closed_without_comment(tickets, edits, scores)
+    found = sorted((r.message.split(":")[0], (r.created_at - T0).days) for r in got.collect())
+    assert found == [("a", 2), ("a", 5), ("c", 2), ("e", 1), ("n", 1), ("q", 1), ("r", 1)]
+    assert {r.detail for r in got.collect()} == {"author 7, topic d", "author unknown, topic d"}
+    assert values(got.select("log_id")) == values(reports.closed_without_comment(tickets, edits, scores).select("log_id"))
 
 
 def test_column_audit(frame):
@@ -163,3 +171,12 @@ def test_scorer_learns(frame):
              "how do I get help please" if i % 2 else "thank you all great day") for i in range(120)]
     got = training.train_and_evaluate(frame(COLUMNS, *rows)).first()
     assert got.rows > 10 and got.accuracy == 1.0 and got.false_positives == 0
+
+
+def test_scorer_needs_both_classes(frame):
+    rows = [(str(i), "not_a_question", "r", T0, "post", "text") for i in range(3)]
+    examples = training.labelled(frame(COLUMNS, *rows))
+    with pytest.raises(ValueError, match="label 0"):
+        training.train(examples)
+    with pytest.raises(ValueError, match="no examples"):
+        training.train(examples.limit(0))

@@ -43,10 +43,12 @@ def is_blank(text: Column) -> Column:
 
 
 def found_in(text: Column, term: str, wildcards: bool = True) -> Column:
-    """Case-insensitive search. ``%`` and ``_`` are wildcards unless told otherwise."""
+    """Case-insensitive search. ``%`` and ``_`` are wildcards unless told otherwise; a backslash is itself."""
     lowered = F.lower(text)
     needle = term.lower()
-    return lowered.like(f"%{needle}%") if wildcards else lowered.contains(needle)
+    if not wildcards:
+        return lowered.contains(needle)
+    return lowered.like("%" + needle.replace("\\", "\\\\") + "%")
 
 
 def json_scalar(document: Column, path: str) -> Column:

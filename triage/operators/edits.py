@@ -9,44 +9,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triage.functions.status import is_open
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, is_small, latest_per_key
+from triage.operators.joins import latest_per_key
 
 
-def upsert(stored: DataFrame, changes: DataFrame, key: str, order: Sequence[Column] | None = None,
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def upsert(stored: DataFrame, changes: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
     """Update the columns ``changes`` carries where the key matches, insert the rest.
 
-    Of several changes to one key the first in ``order`` counts. Stored columns that ``changes``
-    lacks keep their value (NULL for new rows). When the change keys count small they are
-    broadcast and the stored rows never shuffle.
+    Of several changes to one key the one with the largest values of the ``order`` columns counts
+    (of all its columns where no order is given), NULL being the smallest. Where the stored rows have
+    the order columns too, a change that is older than the stored row does nothing, so the result does
+    not depend on how changes are split into batches or on the order in which these arrive. Stored
+    columns that ``changes`` lacks keep their value (NULL for new rows). Building the plan runs
+    nothing; adaptive execution broadcasts the changes where they turn out small.
     """
-    if order is None:
-        order = [F.col(c).desc_nulls_last() for c in changes.columns if c != key]
     # Repeated keys do no harm in semi and anti joins, and finding the newest may be costly.
     keys = changes.select(key)
-    changes = latest_per_key(changes, [key], order)
-    kept = [c for c in stored.columns if c not in changes.columns]
-    if not kept:
-        untouched = stored.join(broadcast_if_small(keys, max_rows), key, "left_anti")
+    ranks = list(order) if order is not None else [c for c in changes.columns if c != key]
+    changes = latest_per_key(changes, [key], [F.col(c).desc_nulls_last() for c in ranks])
+    ranked = order is not None and set(order) <= set(stored.columns)
+    if not ranked and set(stored.columns) <= set(changes.columns):
+        untouched = stored.join(keys, key, "left_anti")
         return untouched.unionByName(changes.select(*stored.columns))
 
     new = {c: f"_new_{c}" for c in changes.columns if c != key}
     renamed = changes.withColumnsRenamed(new).withColumn("_hit", F.lit(True))
-    small = is_small(keys, max_rows)
-    side = F.broadcast(renamed) if small else renamed
+    counts = F.col("_hit")
+    if ranked:
+        counts = counts & (F.struct(*[F.col(new[c]) for c in ranks]) >= F.struct(*ranks))
     updated = (
-        stored.join(side, key, "left")
+        stored.join(renamed, key, "left").withColumn("_hit", counts)
         .withColumns({c: F.when(F.col("_hit"), F.col(n)).otherwise(F.col(c)) for c, n in new.items()})
         .select(*stored.columns)
     )
-    known = stored.select(key).join(F.broadcast(keys) if small else keys, key, "left_semi")
+    known = stored.select(key).join(keys, key, "left_semi")
     inserted = changes.join(known, key, "left_anti")
-    return updated.unionByName(inserted, allowMissingColumns=True)
+    return updated.unionByName(inserted.select(*[c for c in stored.columns if c in changes.columns]), allowMissingColumns=True)
 
 
-def delete(stored: DataFrame, doomed: DataFrame, key: str,
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    return stored.join(broadcast_if_small(doomed.select(key), max_rows), key, "left_anti")
+def delete(stored: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
+    return stored.join(doomed.select(key), key, "left_anti")
 
 
 def bulk_status_changes(live: DataFrame, requests: DataFrame, now: Column) -> DataFrame:

@@ -67,8 +67,8 @@ def feedback_digest(feedback: DataFrame, today: Column) -> DataFrame:
 
     def section(kind: str, rows: int, tag: str) -> Column:
         note = F.when(~is_blank(F.col("feedback_reason")),
-                      F.concat(F.lit(" | Team note: "), "feedback_reason")).otherwise("")
-        line = F.concat(F.lit(f"  [{tag}] Type: "), "content_type", F.lit(" | Text: "), "body_preview", note)
+                      F.concat(F.lit(v.DIGEST_NOTE), "feedback_reason")).otherwise("")
+        line = F.concat(F.lit(f"  [{tag}] {v.DIGEST_TYPE}"), "content_type", F.lit(v.DIGEST_TEXT), "body_preview", note)
         lines = top_feedback(feedback, today, kind, rows).select("flagged_at", "content_id", line.alias("line"))
         # At most ``rows`` lines reach this aggregate.
         ordered = F.array_sort(

@@ -13,7 +13,7 @@ from triage.functions.status import is_open
 from triage.functions.text import (
     found_in, full_name, is_blank, prefixed, preview, strip_html, trim_all,
 )
-from triage.operators.joins import DEFAULT_BROADCAST_ROWS, IdSet, broadcast_if_small, not_in
+from triage.operators.joins import IdSet, not_in
 from triage.operators.staging import of_tenant
 from triage.operators.tickets import live_tickets, newest_first, oldest_first, overlay
 
@@ -80,18 +80,16 @@ def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column,
     return with_list_columns(whole.dropDuplicates(["content_id"]), now).orderBy(*newest_first())
 
 
-def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame,
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame) -> DataFrame:
     """Tickets of a set of ids, whole; both sides are narrowed before they meet."""
-    asked = broadcast_if_small(ids.select("content_id"), max_rows)
+    asked = ids.select("content_id")
     wanted = overlay(stored.join(asked, "content_id", "left_semi"), edits.join(asked, "content_id", "left_semi"))
     return wanted.withColumn("urgency", clock.urgency(F.col("created_at"), now)).drop("live_updated_at")
 
 
-def member_thread_tickets(stored: DataFrame, edits: DataFrame, now: Column, pairs: DataFrame,
-                          max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def member_thread_tickets(stored: DataFrame, edits: DataFrame, now: Column, pairs: DataFrame) -> DataFrame:
     """Every ticket of the given (thread, member) pairs, whatever its status, oldest first."""
-    asked = broadcast_if_small(pairs.select("thread_id", "member_id"), max_rows)
+    asked = pairs.select("thread_id", "member_id")
     wanted = live_tickets(stored.join(asked, ["thread_id", "member_id"], "left_semi"), edits)
     return (
         with_list_columns(wanted, now, v.GROUP_PREVIEW)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triage import vocabulary as v
 from triage.functions import clock
-from triage.functions.status import is_open, renamed_status
+from triage.functions.status import is_open, live_status, renamed_status, staff_engaged
+from triage.operators.engagement import SIGNALS
+from triage.operators.tickets import EDIT_ORDER
+
+# Statuses that end an item.
+CLOSING = ("closed", "cancelled")
 
 
 def open_stats(live: DataFrame, now: Column) -> DataFrame:
@@ -118,29 +123,31 @@ def column_audit(table: DataFrame) -> DataFrame:
     )
 
 
-def closed_without_comment(live: DataFrame, edits: DataFrame) -> DataFrame:
-    """Log rows for edits that close a ticket no staff member commented on.
+def closed_without_comment(tickets: DataFrame, edits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Log rows for edits that close an item on which no staff member commented.
 
-    The row id comes from the edit itself, so a retried task writes the same id again.
+    The state an edit met follows from the edit before it in the log, else from the score; so every
+    edit that closed something open, assigned or rejected is found, also where it is the latest one
+    and the stored ticket already shows its result. An edit that changes nothing gives no row. The row
+    id comes from the edit itself, so a retried task writes the same id again.
     """
-    closing = edits.filter(F.col("status").isin("closed", "cancelled")).select(
-        "content_id", F.col("status").alias("_new"), F.col("updated_at").alias("_at")
-    )
-    before = live.select("content_id", "ticket_status", "team_commented", "member_id", "domain")
-    missed = before.join(closing, "content_id").filter(
-        ~F.col("team_commented") & F.col("ticket_status").isNotNull() & (F.col("_new") != F.col("ticket_status"))
-    )
+    log = edits.select("content_id", *EDIT_ORDER)
+    in_time = Window.partitionBy("content_id").orderBy(*[F.col(c).asc_nulls_first() for c in EDIT_ORDER])
+    steps = log.withColumn("_met", F.lag("status").over(in_time)).filter(F.col("status").isin(*CLOSING)).select(
+        "content_id", "_met", F.col("status").alias("_new"), F.col("updated_at").alias("_at"))
+    items = tickets.select("content_id", *SIGNALS, "member_id", "domain").filter(~F.col("team_commented"))
+    met = steps.join(items, "content_id").join(scores.select("content_id", "is_question"), "content_id", "left")
+    by_score = F.when(~F.col("is_question"), "not_a_question").otherwise("open")
+    state = live_status(staff_engaged(*(F.col(s) for s in SIGNALS)), F.col("_met"), by_score)
+    missed = met.filter(F.col("_new") != state)
     moment = F.date_format("_at", "yyyy-MM-dd HH:mm:ss")
-    text_or_none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     return missed.select(
         F.md5(F.concat_ws("|", "content_id", "_new", moment)).alias("log_id"),
         F.col("_at").alias("created_at"),
         F.lit("INFO").alias("level"),
         F.lit("closed_without_comment").alias("source"),
-        F.concat(
-            F.lit("Ticket "), "content_id", F.lit(" closed as '"), "_new",
-            F.lit("' without team comment — possible classifier false positive"),
-        ).alias("message"),
-        F.concat(F.lit("member_id="), text_or_none("member_id"),
-                 F.lit(" domain="), text_or_none("domain")).alias("detail"),
+        F.concat("content_id", F.lit(": set to "), "_new", F.lit(" before any staff comment; was it a question at all?")
+                 ).alias("message"),
+        F.concat(F.lit("author "), shown("member_id"), F.lit(", topic "), shown("domain")).alias("detail"),
     )

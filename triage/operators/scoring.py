@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage import vocabulary as v
 from triage.functions.text import json_scalar
+from triage.operators import training
 from triage.operators.joins import latest_per_key
 
 # A predictor gets whole rows (content_id, content_type, body) and says whether each is a question.
-ColumnPredictor = Callable[[], Column]
 BatchPredictor = Callable[[pd.DataFrame], "pd.Series[bool]"]
+# What can score: an expression over the candidates, a function of batches, a fitted model.
+Scorer = Column | BatchPredictor | PipelineModel
 
 
 def unscored(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -43,6 +46,16 @@ def score_batches(candidates: DataFrame, predict: BatchPredictor, scored_at: Col
     return answered.withColumn("classified_at", scored_at)
 
 
+def score_with(candidates: DataFrame, scorer: Scorer, scored_at: Column) -> DataFrame:
+    """Score by whatever kind of scorer is given."""
+    if isinstance(scorer, Column):
+        return score(candidates, scorer, scored_at)
+    if isinstance(scorer, PipelineModel):
+        rows = candidates.select("content_id", "content_type", "body")
+        return score(training.predict(scorer, rows), F.col("is_question"), scored_at)
+    return score_batches(candidates, scorer, scored_at)
+
+
 def score_inputs(candidates: DataFrame, config: DataFrame) -> DataFrame:
     """Text a remote model would be sent per item: newest prompt, type, whole body."""
     prompt = config.agg(F.max_by("prompt_text", "version")).scalar()
@@ -63,6 +76,15 @@ def unlabelled_questions(content: DataFrame, labels: DataFrame) -> DataFrame:
     return questions.join(done, "content_id", "left_anti")
 
 
+def label_inputs(pending: DataFrame) -> DataFrame:
+    """Text a remote model would be sent for each unlabelled question: the topics, type, whole body."""
+    asked = F.lit(v.TOPIC_REQUEST + "; ".join(v.TOPICS))
+    return pending.select(
+        "content_id", "content_type",
+        F.concat(asked, F.lit("\nType: "), "content_type", F.lit("\nText: "), F.coalesce("body", F.lit(""))).alias("prompt"),
+    )
+
+
 def topic_by_words(body: Column, dictionary: Mapping[str, Sequence[str]] = v.TOPIC_WORDS) -> Column:
     """Topic with most dictionary words in the whole body; ties go to the first listed.
 

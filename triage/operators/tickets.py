@@ -11,7 +11,7 @@ from triage.operators.engagement import SIGNALS
 from triage.operators.joins import latest_per_key
 
 # Edits of one moment are settled by their values, so that every run picks the same one.
-_EDIT_ORDER = ("updated_at", "status", "assigned_to", "domain", "feedback_reason")
+EDIT_ORDER = ("updated_at", "status", "assigned_to", "domain", "feedback_reason")
 
 
 TICKET_COLUMNS = (
@@ -33,7 +33,7 @@ def oldest_first() -> list[Column]:
 
 
 def latest_metadata(edits: DataFrame) -> DataFrame:
-    return latest_per_key(edits, ["content_id"], [F.col(c).desc_nulls_last() for c in _EDIT_ORDER])
+    return latest_per_key(edits, ["content_id"], [F.col(c).desc_nulls_last() for c in EDIT_ORDER])
 
 
 def member_assignments(content: DataFrame, metadata: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triage.operators.feedback import version_intervals
+from triage.operators.joins import DEFAULT_BROADCAST_ROWS, match_intervals, touched_days
+
 FEATURES = 1 << 16
 
 
@@ -26,6 +29,10 @@ def held_out(content_id: Column, one_in: int = 4) -> Column:
 
 
 def train(examples: DataFrame) -> PipelineModel:
+    """Fit on (body, label); both classes must be there."""
+    classes = {r.label for r in examples.select("label").distinct().limit(2).collect()}
+    if len(classes) < 2:
+        raise ValueError("no examples to train on" if not classes else f"all examples have the label {classes.pop():g}")
     stages = [
         RegexTokenizer(inputCol="body", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES),
@@ -45,10 +52,10 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(predicted: DataFrame) -> DataFrame:
-    """Counts and rates of predictions against labels, one row, one aggregation."""
+def evaluate(predicted: DataFrame, *by: str) -> DataFrame:
+    """Counts and rates of predictions against labels, one row for each value of ``by``, one aggregation."""
     truth, guess = F.col("label") == 1.0, F.col("is_question")
-    counts = predicted.agg(
+    counts = predicted.groupBy(*by).agg(
         F.count("*").alias("rows"),
         F.count_if(truth & guess).alias("true_positives"),
         F.count_if(~truth & guess).alias("false_positives"),
@@ -63,6 +70,16 @@ def evaluate(predicted: DataFrame) -> DataFrame:
     })
 
 
+def stored_quality(config: DataFrame, scores: DataFrame, feedback: DataFrame,
+                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """How the stored scores fare against the team's corrections, for each prompt version that made them."""
+    spans = version_intervals(config).select("version", F.col("created_at").alias("_start"), F.col("superseded_at").alias("_end"))
+    truth = labelled(feedback).select("content_id", "label")
+    judged = scores.select("content_id", "is_question", "classified_at").join(truth, "content_id")
+    small = touched_days(spans, "_start", "_end") <= max_rows
+    return evaluate(match_intervals(judged, "classified_at", spans, "_start", "_end", small), "version")
+
+
 def train_and_evaluate(feedback: DataFrame) -> DataFrame:
     """Train on three quarters of the corrections, report on the rest."""
     examples = labelled(feedback)

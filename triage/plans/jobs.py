@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triage.operators import edits, feedback, scoring, staging, tickets
@@ -40,13 +39,18 @@ def _replaced(spark: SparkSession, path: str, rows: DataFrame, by_day: bool = Fa
 
 
 def ingest(cleaned: DataFrame, table: VersionedTable, commit_key: str | None = None) -> bool:
-    """Upsert what is newer than the newest stored row."""
+    """Upsert what is newer than the newest stored row.
+
+    Late and undated rows stay behind; the next ``rebuild``, or the stream, picks them up. The source
+    fixes the creation time of an item, so an item never moves to another day.
+    """
     fresh = staging.newer_than(cleaned, table.read())
-    return table.upsert(fresh, "content_id", [F.col("updated_at").desc_nulls_last()], commit_key)
+    return table.upsert(fresh, "content_id", ["updated_at"], commit_key, key_moves=False)
 
 
-def score_new(ws: Workspace, table: VersionedTable, commit_key: str | None = None) -> bool:
-    return table.upsert(ws.incremental_scores(table.read()), "content_id", commit_key=commit_key)
+def score_new(ws: Workspace, table: VersionedTable, commit_key: str | None = None,
+              scorer: scoring.Scorer | None = None) -> bool:
+    return table.upsert(ws.incremental_scores(table.read(), scorer), "content_id", commit_key=commit_key)
 
 
 def label_new(ws: Workspace, table: VersionedTable, settings: Settings,
@@ -63,7 +67,7 @@ def roll_prompt_forward(ws: Workspace, responses: DataFrame, table: VersionedTab
 
 def save_edits(changes: DataFrame, table: VersionedTable, commit_key: str | None = None) -> bool:
     """Edits of status, assignee, domain or reason; the newest per item counts."""
-    return table.upsert(changes, "content_id", [F.col("updated_at").desc_nulls_last()], commit_key)
+    return table.upsert(changes, "content_id", ["updated_at"], commit_key)
 
 
 def migrate_metadata(table: VersionedTable) -> bool:

@@ -163,7 +163,12 @@ class Workspace:
         pending = scoring.unlabelled_questions(self.content, self.labels)
         return scoring.label_topics(pending, self.settings.now, topic)
 
-    def incremental_scores(self, stored: DataFrame) -> DataFrame:
-        """Scores for the items ``stored`` lacks."""
+    def incremental_scores(self, stored: DataFrame, scorer: scoring.Scorer | None = None) -> DataFrame:
+        """Scores for the items ``stored`` lacks: by a column expression, a function of batches or a
+        fitted model, else by the workspace's rule."""
         fresh = scoring.unscored(self.candidates, stored)
+        if scorer is not None:
+            return scoring.score_with(fresh, scorer, self.settings.now)
+        if self.rule is None:
+            raise ValueError("this workspace has stored scores and no rule: give a scorer for new items")
         return scoring.score(fresh, self.rule.is_question, self.rule.classified_at)

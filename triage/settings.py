@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from dataclasses import dataclass
 
@@ -61,10 +60,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    A folder of our own is made only where the session names none (tests).
+    Only a session on one machine may go without a name, as in tests; it gets a folder of its own.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "triage-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    set_before = context._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="triage-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Collection, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,7 @@ class VersionedTable:
         self._publish(rows, before, commit_key)
         return True
 
-    def upsert(self, changes: DataFrame, key: str, order: Sequence[Column] | None = None,
+    def upsert(self, changes: DataFrame, key: str, order: Sequence[str] | None = None,
                commit_key: str | None = None, key_moves: bool = True) -> bool:
         """Apply changes by key; ``key_moves=False`` promises that a key never changes its day,
         which spares the look for the old day of each changed key."""

@@ -1,24 +1,23 @@
 """File streams into versioned tables and append-only logs.
 
 A micro-batch is an ordinary DataFrame, so cleaning and upserts are the batch operators. Every
-commit carries the stream's name and batch number: a batch replayed after a failure is skipped.
+commit carries the identity of the checkpoint and the batch number: a batch replayed after a failure
+is skipped, and a stream with a new checkpoint is never taken for an older one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from triage.operators.joins import latest_per_key
+from triage.sources.reader import append, create_if_absent
 from triage.sources.store import VersionedTable
 
-# dropDuplicatesWithinWatermark needs an instant, stored tables hold wall time.
-_LATENESS = "1 hour"
-
-
 def read_files(spark: SparkSession, path: str, schema: T.StructType,
                files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -29,39 +28,52 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType,
 
 def upsert_stream(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str, name: str,
                   transform: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-                  order: Sequence[Column] | None = None) -> StreamingQuery:
+                  order: Sequence[str] | None = None, key_moves: bool = True) -> StreamingQuery:
     """Run each micro-batch through ``transform`` and upsert it; stops when the input is used up.
 
-    Rows count by the arrival of their file, so late rows are not missed as a high-water mark
-    would miss them.
+    Rows count by the arrival of their file, so late rows are not missed as a high-water mark would
+    miss them. With ``order`` an older change never replaces a newer stored row, so neither the size
+    of batches nor the order of files shows in the table. ``key_moves=False`` promises that the source
+    never changes the day of a key.
     """
 
     def apply(rows: DataFrame, batch_id: int) -> None:
         target = VersionedTable(rows.sparkSession, table.root, table.schema, table.by_day)
-        target.upsert(transform(rows), key, order, commit_key=f"{name}:{batch_id}")
-
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def append_stream(stream: DataFrame, key: str, path: str, checkpoint: str,
-                  lateness: str = _LATENESS) -> StreamingQuery:
-    """Append rows once per key: repeats within the lateness are dropped, state is bounded by it."""
-    once = (
-        stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", lateness)
-        .dropDuplicatesWithinWatermark([key])
-        .withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-    )
-    return (
-        once.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        target.upsert(transform(rows), key, order, commit_key=f"{_identity(rows)}:{batch_id}", key_moves=key_moves)
+
+    return _run(stream.writeStream.queryName(name), apply, checkpoint)
+
+
+def append_stream(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each key once, however late it comes; nothing is discarded but repeats of a key.
+
+    A key has one ``created_at``, so of the stored rows only the keys within the times of the batch
+    are read. A batch that is run again after a failure finds its own rows and adds the missing ones.
+    """
+    schema = stream.schema
+
+    def apply(rows: DataFrame, batch_id: int) -> None:
+        batch = rows.persist()
+        try:
+            first, last = batch.agg(F.min("created_at"), F.max("created_at")).first()
+            create_if_absent(batch.sparkSession, path, schema)
+            stored = batch.sparkSession.read.schema(schema).parquet(path)
+            within = F.col("created_at").isNull()
+            if first is not None:
+                within = within | F.col("created_at").between(F.lit(first), F.lit(last))
+            once = latest_per_key(batch, [key], [F.col(c).desc_nulls_last() for c in schema.names if c != key])
+            fresh = once.join(stored.filter(within).select(key), key, "left_anti")
+            append(fresh.select(*schema.names), path, schema)
+        finally:
+            batch.unpersist()
+
+    return _run(stream.writeStream, apply, checkpoint)
+
+
+def _identity(rows: DataFrame) -> str:
+    """The id that the checkpoint of the running stream keeps."""
+    return rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _run(writer: DataStreamWriter, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return writer.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -40,6 +40,7 @@ NO_CHANGE = "no change"
 DIGEST_REJECT_HEADER = "## FALSE POSITIVES\n"
 DIGEST_CONFIRMED_HEADER = "\n\n## CONFIRMED QUESTIONS\n"
 DIGEST_EMPTY = "  (none this week)"
+DIGEST_TYPE, DIGEST_TEXT, DIGEST_NOTE = "Type: ", " | Text: ", " | Team note: "
 
 # Topic labels, in the order ties are settled; the last one is the fallback.
 TOPICS = (
@@ -59,6 +60,7 @@ TOPICS = (
     "Other",
 )
 FALLBACK_TOPIC = TOPICS[-1]
+TOPIC_REQUEST = 'Name the one topic that fits this question best, as JSON {"domain": "..."}. Topics: '
 
 # Words that speak for a topic in the built-in dictionary labeller.
 TOPIC_WORDS = {
