@@ -17,7 +17,7 @@ from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tabl
 from triage.functions import clock
 from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, training
 from triage.operators.queues import QueueFilter
-from triage.plans.jobs import ingest
+from triage.plans.jobs import ingest, rebuild
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
 from triage.settings import Settings, shared_dir, tune
@@ -57,22 +57,17 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def served(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The pipeline over stored content and tickets."""
+    """The pipeline over stored content and tickets, as the rebuild job writes them."""
     key, raw = _key(spark, sf_dir), workspace(spark, sf_dir)
     if key not in _served:
-        content = _written(spark, "content", raw.content)
-        onward = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content)
-        stored = _written(spark, "tickets", onward.rebuilt_tickets)
-        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content, stored_tickets=stored)
+        root = scratch(spark, "stored")
+        rebuild(raw, spark, root)
+        content, stored = (VersionedTable(spark, f"{root}/{name}", _content_schema(rows), by_day=True).read()
+                           for name, rows in (("content", raw.content), ("tickets", raw.rebuilt_tickets)))
+        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content, stored_tickets=stored, keyed=True)
     return _served[key]
 
 
-def _written(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
-    path = scratch(spark, name)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/triage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -90,7 +85,7 @@ def _view(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def _queue(**wanted) -> Callable[[SparkSession, str], DataFrame]:
-    return _view(lambda ws: queues.ticket_queue(ws.tickets, _log(ws), SETTINGS.now, QueueFilter(**wanted)))
+    return _view(lambda ws: queues.ticket_queue(ws.tickets, _log(ws), SETTINGS.now, QueueFilter(**wanted), ws.keyed))
 
 
 def _period(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -356,7 +351,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_queue": _view(lambda ws: queues.review_queue(ws.tickets)),
         "review_progress": _view(lambda ws: queues.review_progress(ws.tickets)),
         "queue_grouped": _view(lambda ws: queues.queue_grouped(
-            ws.tickets, _log(ws), SETTINGS.now)),
+            ws.tickets, _log(ws), SETTINGS.now, keyed=ws.keyed)),
         "coach_list": _raw(lambda ws: queues.coach_list(ws.inputs.coaches)),
         "coach_names": _raw(lambda ws: queues.coach_names(ws.inputs.coaches)),
         "member_search": _raw(lambda ws: queues.member_search(

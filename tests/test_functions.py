@@ -81,6 +81,9 @@ def test_search_wildcards(frame):
     assert found("50%", True) == ["50% off", "500 off"]
     assert found("a_B", False) == ["A_b"]
     assert found("a_B", True) == ["A_b", "axb"]
+    slashed = frame("t string", ("a\\b",), ("ab",), ("50%",))
+    hits = lambda term: [r[0] for r in slashed.filter(text.found_in(F.col("t"), term, True)).collect()]
+    assert hits("\\") == ["a\\b"] and hits("\\%") == ["a\\b"] and hits("A\\B") == ["a\\b"]
 
 
 def test_ages_truncate_toward_zero(frame):

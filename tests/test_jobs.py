@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harness import registry
 from tests.conftest import at, plan_of, values
-from triage.operators import staging
+from triage.operators import staging, training
 from triage.operators.joins import IdSet
 from triage.plans import jobs
 from triage.plans.workspace import Inputs, Workspace
@@ -63,6 +63,20 @@ def test_scores_labels_and_prompt_move_on(spark, ws, tmp_path):
     assert config.read().count() == ws.inputs.prompt_config.count() + enough
 
 
+def test_new_items_are_scored_by_any_kind_of_scorer(spark, ws):
+    stored = ws.scores.filter("crc32(content_id) % 2 = 0")
+    only = Workspace(replace(ws.inputs, question_scores=stored), registry.SETTINGS)
+    with pytest.raises(ValueError, match="give a scorer"):
+        only.incremental_scores(stored)
+    fresh = ws.scores.count() - stored.count()
+    by_column = only.incremental_scores(stored, F.length("body") % 4 != 0)
+    by_batch = only.incremental_scores(stored, lambda rows: rows["body"].str.len() % 4 != 0)
+    assert fresh > 0 and values(by_batch) == values(by_column) and by_column.count() == fresh
+    examples = ws.candidates.select("body", (F.length("body") % 2).cast("double").alias("label")).limit(60)
+    by_model = only.incremental_scores(stored, training.train(examples))
+    assert by_model.columns == by_column.columns and by_model.count() == fresh
+
+
 def test_edits_and_migration(spark, frame, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "meta"), TABLES["ticket_metadata"])
     day = lambda n: at(f"2024-01-{n:02d}")
@@ -110,7 +124,7 @@ def test_repeated_events_are_appended_once(spark, frame, tmp_path):
     assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == ["a", "b"]
 
 
-LAZY = [n for n in registry.queries() if not n.startswith("stream") and n not in ("incremental_upsert", "append_events", "scorer_train_eval")]
+LAZY = [n for n in registry.queries() if not n.startswith("stream") and n not in ("incremental_upsert", "append_events")]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -120,23 +134,88 @@ def test_no_plan_pairs_everything_with_everything(spark, name):
     assert "PythonUDF" not in plan and "InPandas" not in plan
 
 
-def test_bodies_move_once_when_nothing_is_small(spark, no_broadcast):
-    served = registry.served(spark, SF_DIR)
-    large = Workspace(served.inputs, replace(registry.SETTINGS, broadcast_rows=0), registry.rule(), stored_content=served.content)
-    assert large.many_members
-    plan = large.rebuilt_tickets._jdf.queryExecution().executedPlan()
-    lines = plan.toString().split("\n")
-    assert not any("BroadcastHashJoin" in line for line in lines)
-    # Exchanges that carry a body have a scan of bodies below them; there is one such scan and one exchange on its way.
-    wide = [i for i, line in enumerate(lines) if "FileScan" in line and "body#" in line.split("Batched")[0]]
+def exchanges_above(plan: str, column: str) -> int:
+    """Exchanges on the way of a column from its scan; it is scanned once."""
+    lines = plan.split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    wide = [i for i, line in enumerate(lines) if "FileScan" in line and f"{column}#" in line.split("Batched")[0]]
     assert len(wide) == 1
-    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
     above, level = 0, depth(lines[wide[0]])
     for line in reversed(lines[: wide[0]]):
         if depth(line) < level:
             level = depth(line)
             above += "Exchange" in line
-    assert above == 1
+    return above
+
+
+def stored_tickets_plan(spark) -> str:
+    served = registry.served(spark, SF_DIR)
+    large = Workspace(served.inputs, replace(registry.SETTINGS, broadcast_rows=0), registry.rule(), stored_content=served.content)
+    return large.rebuilt_tickets._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_move_once_when_nothing_is_small(spark, no_broadcast):
+    plan = stored_tickets_plan(spark)
+    assert "BroadcastHashJoin" not in plan and exchanges_above(plan, "body") == 1
+
+
+def test_bodies_move_once_at_default_thresholds(spark):
+    assert exchanges_above(stored_tickets_plan(spark), "body") <= 1
+
+
+def test_texts_of_threads_do_not_move_by_author(spark, ws):
+    i = ws.inputs
+    timeline = registry.queues.thread_timeline(i.core_posts, i.core_comments, i.core_members, "tenant_a", i.core_articles)
+    assert "hashpartitioning(author_id" not in timeline._jdf.queryExecution().executedPlan().toString()
+    many = registry.queues.thread_timeline(i.core_posts, i.core_comments, i.core_members, "tenant_a", i.core_articles, max_rows=0)
+    assert values(many) == values(timeline)
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Plans that show every column and filter."""
+    wide = {"spark.sql.maxMetadataStringLength": "10000", "spark.sql.debug.maxToStringFields": "1000"}
+    for name, value in wide.items():
+        spark.conf.set(name, value)
+    yield
+    for name in wide:
+        spark.conf.unset(name)
+
+
+def test_conditions_on_stored_rows_reach_the_scan(spark, whole_plans):
+    served = registry.served(spark, SF_DIR)
+    wanted = registry.QueueFilter(date_from="2024-01-10", date_to="2024-01-20", member_id=12)
+    plan = registry.queues.queue_grouped(served.tickets, registry._log(served), registry.SETTINGS.now, wanted, keyed=True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in text and "LessThan(created_at" in text
+    scans = [line for line in text.split("\n") if "FileScan" in line and "ticket_status#" in line.split("Batched")[0]]
+    assert len(scans) == 1
+
+
+def test_a_short_list_leaves_other_bodies_where_they_are(spark, whole_plans):
+    served = registry.served(spark, SF_DIR)
+    short = registry.queues.ticket_queue(served.tickets, registry._log(served), registry.SETTINGS.now, registry.QueueFilter(member_id=12), keyed=True)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    # The scan of bodies meets a broadcast of ids before any exchange.
+    lines = plan.split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "body#" in line.split("Batched")[0])
+    above = [line for line in lines[max(0, scan - 6):scan] if "Exchange" in line or "Join" in line]
+    assert above and "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1]
+    long = registry.queues.ticket_queue(served.tickets, registry._log(served), registry.SETTINGS.now, registry.QueueFilter(member_id=12), keyed=True, max_rows=-1)
+    assert values(long) == values(short)
+
+
+@pytest.mark.parametrize("max_rows", [-1, 100])
+def test_copies_of_one_time_are_not_mixed(spark, frame, max_rows):
+    made = at("2024-01-05")
+    columns = ("content_id string, created_at timestamp_ntz, title string, body string, ticket_status string, ticket_updated_at timestamp_ntz, "
+               "member_id bigint, team_commented boolean, team_comment_replied boolean, team_reacted boolean")
+    rows = [("a", made, f"title{k}", f"body{k}", "open", None, 1, False, False, False) for k in (0, 1)]
+    rows += [("b", made, "same", f"body{k}", "open", None, 1, False, False, False) for k in (0, 1)]
+    edits = frame("content_id string, status string, assigned_to string, domain string, feedback_reason string, updated_at timestamp_ntz")
+    for order in (rows, rows[::-1]):
+        got = registry.queues.ticket_queue(frame(columns, *order), edits, registry.SETTINGS.now, max_rows=max_rows)
+        assert values(got.select("content_id", "title", "body")) == [("a", "title1", "body1"), ("b", "same", "body1")]
 
 
 def test_hot_keys_give_whole_results(spark, frame, no_broadcast):

@@ -123,8 +123,7 @@ def test_first_assignment_and_override(frame):
         (1, "a", "post_1", False), (2, "", "post_4", True)]
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_tickets_star(spark, frame, many):
+def test_tickets_star(spark, frame):
     items = content(frame, ("post_1", 1, T0, True), ("post_2", 7, T0, False), ("post_3", None, T0, None))
     people = table(spark, "core_members", dict(client_id="t", member_id=1, first_name="A"))
     members = staging.members(people, ids(frame), "t")
@@ -134,7 +133,7 @@ def test_tickets_star(spark, frame, many):
                   ("post_1", "", "", T0, None))
     labels = frame("content_id string, domain string", ("post_1", "Other"))
     coaches = frame("member_id bigint, assigned_to string", (7, "coach"))
-    got = tickets.tickets(items, members, touched, edits, labels, coaches, many_members=many)
+    got = tickets.tickets(items, members, touched, edits, labels, coaches)
     assert got.columns == list(tickets.TICKET_COLUMNS)
     assert values(got.select("content_id", "member_id", "member_name", "ticket_status", "assigned_to", "domain",
                              "team_reacted")) == [

@@ -13,10 +13,13 @@ from triage.functions.status import is_open
 from triage.functions.text import (
     found_in, full_name, is_blank, prefixed, preview, strip_html, trim_all,
 )
-from triage.operators.joins import IdSet, not_in
+from triage.operators.joins import DEFAULT_BROADCAST_ROWS, IdSet, is_small, latest_per_key, not_in
 from triage.operators.staging import of_tenant
 from triage.operators.tickets import live_tickets, newest_first, oldest_first, overlay
 
+# A list up to this long fetches its bodies by id: some megabytes of ids.
+LIST_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class QueueFilter:
@@ -30,33 +33,50 @@ class QueueFilter:
     date_from: Column | str | None = None
     date_to: Column | str | None = None
 
-    def conditions(self, now: Column) -> list[Column]:
-        def asked(value: object) -> bool:
-            return value is not None and value != "" and value != "All"
+    def stored_conditions(self, keyed: bool) -> list[Column]:
+        """What can be asked of the stored rows themselves, below overlay and de-duplication.
 
-        def day(bound: Column | str) -> Column:
-            return bound if isinstance(bound, Column) else F.lit(bound).cast("date")
+        A lower bound in time commutes with "the newest copy counts". An upper bound and the author
+        do not, as an older copy might meet them: they need a table with one row for each item.
+        """
+        out = []
+        if self.date_from is not None:
+            out.append(F.to_date("created_at") >= _day(self.date_from))
+        if keyed and self.date_to is not None:
+            out.append(F.to_date("created_at") <= _day(self.date_to))
+        if keyed and _asked(self.member_id):
+            out.append(F.col("member_id").cast("string") == str(self.member_id))
+        return out
 
+    def conditions(self, now: Column) -> list[Column]:
         out = []
-        if asked(self.status):
+        if _asked(self.status):
             out.append(F.col("ticket_status") == self.status)
         else:
             out.append(~F.col("ticket_status").isin(*v.FEEDBACK_STATUSES))
-        if asked(self.assignee):
+        if _asked(self.assignee):
             out.append(F.col("assigned_to") == self.assignee)
-        if asked(self.member_id):
+        if _asked(self.member_id):
             out.append(F.col("member_id").cast("string") == str(self.member_id))
-        if asked(self.domain):
+        if _asked(self.domain):
             out.append(F.col("domain") == self.domain)
         if self.date_from is not None:
-            out.append(F.to_date("created_at") >= day(self.date_from))
+            out.append(F.to_date("created_at") >= _day(self.date_from))
         if self.date_to is not None:
-            out.append(F.to_date("created_at") <= day(self.date_to))
-        if asked(self.urgency) and str(self.urgency).lower() in v.URGENCY_RANK:
+            out.append(F.to_date("created_at") <= _day(self.date_to))
+        if _asked(self.urgency) and str(self.urgency).lower() in v.URGENCY_RANK:
             out.append(clock.urgency_is(str(self.urgency).lower(), F.col("created_at"), now))
         return out
 
 
+def _asked(value: object) -> bool:
+    return value is not None and value != "" and value != "All"
+
+
+def _day(bound: Column | str) -> Column:
+    return bound if isinstance(bound, Column) else F.lit(bound).cast("date")
+
+
 def with_list_columns(tickets: DataFrame, now: Column, length: int = v.LIST_PREVIEW) -> DataFrame:
     return tickets.withColumns({
         "body_preview": preview(F.col("body"), length),
@@ -64,20 +84,36 @@ def with_list_columns(tickets: DataFrame, now: Column, length: int = v.LIST_PREV
     })
 
 
-def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column,
-                 wanted: QueueFilter = QueueFilter()) -> DataFrame:
+def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column, wanted: QueueFilter = QueueFilter(),
+                 keyed: bool = False, max_rows: int = LIST_ROWS) -> DataFrame:
     """Live tickets that meet every condition, newest first.
 
-    The overlay, the de-duplication and the conditions run without the bodies; only tickets that
-    are left fetch theirs, so a short list never shuffles the bodies of all tickets.
+    Conditions on the stored rows reach the scan. The others run without the bodies, and the rows that
+    are left are counted: a short list (``max_rows``) sends its ids to the bodies, which then stay
+    where they are; a long one carries the bodies along, once. A row is known by its item and a hash
+    of its narrow columns, so title and body are always of one stored row.
     """
-    kept = live_tickets(stored.drop("body"), edits)
+    rows = stored
+    for condition in wanted.stored_conditions(keyed):
+        rows = rows.filter(condition)
+    narrow = [c for c in stored.columns if c != "body"]
+    marked = rows.withColumn("_row", F.xxhash64(*narrow))
+    kept = _meeting(live_tickets(marked.drop("body"), edits, keyed), wanted, now)
+    ids = kept.select("content_id", "_row")
+    carried = _meeting(live_tickets(rows, edits, keyed), wanted, now).drop("live_updated_at")
+    if not is_small(ids, max_rows):
+        return with_list_columns(carried, now).orderBy(*newest_first())
+    bodies = marked.select("content_id", "_row", "body").join(F.broadcast(ids), ["content_id", "_row"], "left_semi")
+    if not keyed:  # copies that differ in nothing but the body
+        bodies = latest_per_key(bodies, ["content_id", "_row"], [F.col("body").desc_nulls_last()])
+    fetched = kept.join(bodies, ["content_id", "_row"]).select(*carried.columns)
+    return with_list_columns(fetched, now).orderBy(*newest_first())
+
+
+def _meeting(live: DataFrame, wanted: QueueFilter, now: Column) -> DataFrame:
     for condition in wanted.conditions(now):
-        kept = kept.filter(condition)
-    bodies = stored.select("content_id", F.col("created_at").alias("_made"), "body")
-    same_row = (bodies["content_id"] == kept["content_id"]) & F.col("_made").eqNullSafe(kept["created_at"])
-    whole = kept.join(bodies, same_row).drop(bodies["content_id"], F.col("_made"), F.col("live_updated_at"))
-    return with_list_columns(whole.dropDuplicates(["content_id"]), now).orderBy(*newest_first())
+        live = live.filter(condition)
+    return live
 
 
 def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame) -> DataFrame:
@@ -138,11 +174,13 @@ def review_progress(tickets: DataFrame) -> DataFrame:
     })
 
 
-def queue_grouped(stored: DataFrame, edits: DataFrame, now: Column,
-                  wanted: QueueFilter = QueueFilter()) -> DataFrame:
-    """The queue with one row per member and thread; bodies are cut to previews at the scan."""
+def queue_grouped(stored: DataFrame, edits: DataFrame, now: Column, wanted: QueueFilter = QueueFilter(),
+                  keyed: bool = False) -> DataFrame:
+    """The queue with one row per member and thread; one scan, bodies are cut to previews in it."""
     short = stored.withColumn("body", preview(F.col("body"), v.LIST_PREVIEW))
-    return group_queue(ticket_queue(short, edits, now, wanted))
+    for condition in wanted.stored_conditions(keyed):
+        short = short.filter(condition)
+    return group_queue(with_list_columns(_meeting(live_tickets(short, edits, keyed), wanted, now), now))
 
 
 def group_queue(queue: DataFrame) -> DataFrame:
@@ -222,12 +260,14 @@ def member_search(core_members: DataFrame, coaches: IdSet, tenant: str, term: st
 
 def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_members: DataFrame,
                     tenant: str, core_articles: DataFrame | None = None,
-                    threads: IdSet | None = None) -> DataFrame:
+                    threads: IdSet | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS // 10) -> DataFrame:
     """All conversations at once: root (depth 0), then its active comments by time and depth.
 
     Roots keep whatever status they have; a comment counts for the post its target id names.
     The final order is by the whole key, so a range exchange may cut one long thread in many
-    places; no thread has to fit one task. ``threads`` narrows the output to given thread ids.
+    places; no thread has to fit one task. Names are broadcast if counted few (``max_rows``), else they
+    are joined to the ids of items and come to the texts by item, so that no author's texts gather in
+    one place. ``threads`` narrows the output to given thread ids.
     """
 
     def item(rows: DataFrame, kind: str, key: str, thread: Column, author: str, text: str,
@@ -263,7 +303,12 @@ def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_member
         trim_all(full_name(F.col("first_name"), F.col("last_name"))).alias("_name"),
         F.col("network_role").isin(*v.STAFF_ROLES).alias("_staff"),
     )
-    ordered = items.join(people, "author_id", "left").orderBy(
+    if is_small(people, max_rows):
+        named = items.join(F.broadcast(people), "author_id", "left")
+    else:
+        authors = items.select("content_id", "author_id").filter(F.col("author_id").isNotNull()).distinct()
+        named = items.join(authors.join(people, "author_id"), ["content_id", "author_id"], "left")
+    ordered = named.orderBy(
         "thread_id", F.col("created_at").asc_nulls_first(), F.col("depth").asc_nulls_first(), "content_id"
     )
     # Texts are cleaned above the sort: its sampling pass reads the rows once more.

@@ -56,16 +56,13 @@ def member_assignments(content: DataFrame, metadata: DataFrame, overrides: DataF
 
 
 def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metadata: DataFrame,
-            labels: DataFrame, assignments: DataFrame, many_members: bool = False) -> DataFrame:
+            labels: DataFrame, assignments: DataFrame) -> DataFrame:
     """Star of left joins around the content.
 
-    Everything keyed by ``content_id`` is joined first, so one exchange of the content serves
-    the three of them. What is keyed by member is put together beforehand and joined once; an
+    Everything is joined by ``content_id``, so one exchange of the content at most serves all. What
+    is keyed by member is put together beforehand and joined to the two ids of each item: ids and
+    profiles travel to the bodies, and a prolific author's bodies never gather under one key. An
     author outside the member table keeps NULL profile fields but still gets the coach.
-
-    With ``many_members`` the member side cannot be broadcast. It is then joined to the two ids
-    of each item, and the result to the content by item: ids and profiles travel to the bodies,
-    which move once, and a prolific author's bodies never gather under one key.
     """
     profile = members.select(
         "member_id", F.col("full_name").alias("member_name"), "first_name", "last_name",
@@ -88,12 +85,9 @@ def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metad
         .join(edits, "content_id", "left")
         .join(topics, "content_id", "left")
     )
-    if many_members:
-        authors = content.select("content_id", F.col("member_id").alias("_author"))
-        by_item = authors.filter(F.col("_author").isNotNull()).distinct().join(people, "_author")
-        joined = joined.join(by_item, ["content_id", "_author"], "left")
-    else:
-        joined = joined.join(people, "_author", "left")
+    authors = content.select("content_id", F.col("member_id").alias("_author"))
+    by_item = authors.filter(F.col("_author").isNotNull()).distinct().join(people, "_author")
+    joined = joined.join(by_item, ["content_id", "_author"], "left")
     engaged = rules.staff_engaged(*(F.col(s) for s in SIGNALS))
     return (
         joined.withColumn("ticket_status",
@@ -106,10 +100,19 @@ def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metad
     )
 
 
-def live_tickets(stored: DataFrame, edits: DataFrame) -> DataFrame:
-    """Stored tickets under the newest edit of each; columns a stored version lacks are tolerated."""
-    unique = latest_per_key(stored, ["content_id"], newest_first())
-    return overlay(unique, edits)
+def newest_copy(stored: DataFrame) -> DataFrame:
+    """One row of each item: the newest, equal times settled by all other columns."""
+    rest = sorted(set(stored.columns) - {"content_id", "created_at"}, key=lambda c: (c.startswith("_"), c))
+    return latest_per_key(stored, ["content_id"], [F.col("created_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]])
+
+
+def live_tickets(stored: DataFrame, edits: DataFrame, keyed: bool = False) -> DataFrame:
+    """Stored tickets under the newest edit of each; columns a stored version lacks are tolerated.
+
+    ``keyed`` says that the stored table has one row for each item, as jobs and upserts write it;
+    then no row is compared with others.
+    """
+    return overlay(stored if keyed else newest_copy(stored), edits)
 
 
 def overlay(stored: DataFrame, edits: DataFrame) -> DataFrame:

@@ -9,13 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.operators import engagement, feedback, scoring, staging, tickets
-from triage.operators.joins import IdSet, is_small
+from triage.operators.joins import IdSet
 from triage.settings import Settings
 from triage.sources.reader import scan
 
-# Ids that take the room of one member profile.
-PROFILE_WIDTH = 20
-
 
 @dataclass(frozen=True)
 class Inputs:
@@ -52,11 +49,14 @@ class Workspace:
     """Each table of the pipeline, built on first use. Nothing runs but the size checks."""
 
     def __init__(self, inputs: Inputs, settings: Settings, rule: Rule | None = None,
-                 stored_content: DataFrame | None = None, stored_tickets: DataFrame | None = None):
+                 stored_content: DataFrame | None = None, stored_tickets: DataFrame | None = None,
+                 keyed: bool = False):
         if inputs.question_scores is None and rule is None:
             raise ValueError("either stored scores or a rule is needed")
         self.inputs, self.settings, self.rule = inputs, settings, rule
         self._stored_content, self._stored_tickets = stored_content, stored_tickets
+        # Stored tickets have one row for each item, as ``jobs.rebuild`` writes them.
+        self.keyed = keyed
 
     @property
     def _tenant(self) -> str:
@@ -137,13 +137,7 @@ class Workspace:
     @cached_property
     def rebuilt_tickets(self) -> DataFrame:
         return tickets.tickets(self.content, self.members, self.engagement, self.metadata,
-                               self.labels, self.assignments, many_members=self.many_members)
-
-    @cached_property
-    def many_members(self) -> bool:
-        """Profiles are wider than ids, so their bound is a fraction of it."""
-        people = staging.of_tenant(self.inputs.core_members, self._tenant)
-        return not is_small(people, self._bound // PROFILE_WIDTH)
+                               self.labels, self.assignments)
 
     @property
     def tickets(self) -> DataFrame:
@@ -152,7 +146,7 @@ class Workspace:
 
     @cached_property
     def live(self) -> DataFrame:
-        return tickets.live_tickets(self.tickets, self.inputs.ticket_metadata)
+        return tickets.live_tickets(self.tickets, self.inputs.ticket_metadata, self.keyed)
 
     @cached_property
     def feedback(self) -> DataFrame:
