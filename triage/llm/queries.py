@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
+from . import chat, exact_dedup, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
 from .common import cut, read, shared_folder, word_count
 
 # Shares of tokens the mix aims at; a number tempers the shares the documents have.
@@ -104,9 +104,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    control = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                    "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(control))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_main_text, op4_license_scan, op5_top_k, op6_token_counts, op7_best_fit_packing,
-    op8_exact_dedup, op9_simhash, op10_toxicity)}
+    op8_exact_dedup, op9_simhash, op10_toxicity, op11_chat_format)}
 
 NOT_BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -115,6 +123,10 @@ def _template_words() -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(licenses.plain_words(t)))) for label, texts in licenses.TEMPLATES.items() for t in texts]
 
 
+def _escaped(text: str) -> str:
+    return f"regexp_replace({text}, '([<\\[])(\\\\*{chat.CONTROL})', '\\1\\\\\\2', 'g')"
+
+
 SQL = {
     "op4_license_scan": f"""
 WITH d AS (
@@ -165,4 +177,15 @@ WITH t AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_chat_format": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
+marks(role, marks) AS (VALUES {", ".join(f"('{r}', {sum(map(len, m))})" for r, m in chat.MARKS.items())})
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn, role, said)) AS turns_sha256,
+       CAST(coalesce(sum(length(said)) FILTER (role = '{chat.LEARNT}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn, role, said) FILTER (role = '{chat.LEARNT}'), '')) AS loss_sha256,
+       CAST(sum(length({_escaped("said")}) + coalesce(marks, {sum(map(len, chat.NAMED))} + length({_escaped("role")}))) AS BIGINT) AS formatted_chars
+FROM t LEFT JOIN marks USING (role) GROUP BY conv_id""",
 }
