@@ -47,15 +47,14 @@ def restored(text: str) -> str:
     return re.sub(TO_RESTORE, r"\1\2", text)
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Data, starts and lengths of a string array without nulls."""
-    wide = pa.types.is_large_string(texts.type)
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, "i8" if wide else "i4")[texts.offset:texts.offset + len(texts) + 1].astype("i8")
+    at = np.frombuffer(offsets, "i4")[texts.offset:texts.offset + len(texts) + 1].astype("i8")
     return np.frombuffer(data or b"", "u1"), at[:-1], np.diff(at)
 
 
-def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
     """Copy segment i of ``data`` to ``to[i]``: short ones by one index vector, long ones as they are."""
     short = np.flatnonzero((lengths > 0) & (lengths < LONG))
     lens = lengths[short]
@@ -77,8 +76,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
 
     shown = escaped(pc.if_else(pa.array(kind == len(MARKS)), roles, ""))
     content = escaped(texts)
-    name_data, name_at, name_len = _bytes_of(shown)
-    text_data, text_at, text_len = _bytes_of(content)
+    name_data, name_at, name_len = bytes_of(shown)
+    text_data, text_at, text_len = bytes_of(content)
     lengths = np.stack([sizes[kind, 0], name_len, sizes[kind, 1], text_len, sizes[kind, 2]], axis=1)
     ends = np.cumsum(lengths)
     starts = (ends - lengths.ravel()).reshape(lengths.shape)
@@ -87,26 +86,31 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
     out = np.frombuffer(buffer, "u1")
     marks = np.frombuffer(literals, "u1")
     for column, which in ((0, 0), (2, 1), (4, 2)):
-        _scatter(out, starts[:, column], marks, places[kind, which], lengths[:, column])
-    _scatter(out, starts[:, 1], name_data, name_at, name_len)
-    _scatter(out, starts[:, 3], text_data, text_at, text_len)
+        scatter(out, starts[:, column], marks, places[kind, which], lengths[:, column])
+    scatter(out, starts[:, 1], name_data, name_at, name_len)
+    scatter(out, starts[:, 3], text_data, text_at, text_len)
 
     before = sizes[kind, 0] + pc.utf8_length(shown).to_numpy(zero_copy_only=False) + sizes[kind, 1]
     after = before + pc.utf8_length(content).to_numpy(zero_copy_only=False)
     return buffer, np.append(starts[:, 0], ends[-1] if len(ends) else 0), before, after, after + sizes[kind, 2]
 
 
+def slices(batch: pa.RecordBatch, column: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut by the bytes of a column; a value that is longer is a slice of its own."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < batch.num_rows:
+        full = (size[at - 1] if at else 0) + slice_bytes
+        upto = max(at + 1, int(np.searchsorted(size, full, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Sorted turns as parts; a part ends with its block or when its slice is full."""
     last, piece = None, -1
     for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype("i8"))
-        at = 0
-        while at < batch.num_rows:
-            full = (size[at - 1] if at else 0) + slice_bytes
-            upto = max(at + 1, int(np.searchsorted(size, full, "right")))
-            rows = batch.slice(at, upto - at)
-            at = upto
+        for rows in slices(batch, "text", slice_bytes):
             buffer, bounds, before, after, width = assemble(rows.column("role"), rows.column("text"))
             keys = list(zip(rows.column("conv_id").to_pylist(), rows.column("block").to_pylist()))
             first = np.array([0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)])

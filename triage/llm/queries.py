@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
+from . import chat, divergence, exact_dedup, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
 from .common import cut, read, shared_folder, word_count
 
 # Shares of tokens the mix aims at; a number tempers the shares the documents have.
@@ -112,9 +112,13 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.unionByName(control))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_main_text, op4_license_scan, op5_top_k, op6_token_counts, op7_best_fit_packing,
-    op8_exact_dedup, op9_simhash, op10_toxicity, op11_chat_format)}
+    op8_exact_dedup, op9_simhash, op10_toxicity, op11_chat_format, op12_source_divergence)}
 
 NOT_BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -188,4 +192,27 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(said, '' ORDER BY turn, role, said) FILTER (role = '{chat.LEARNT}'), '')) AS loss_sha256,
        CAST(sum(length({_escaped("said")}) + coalesce(marks, {sum(map(len, chat.NAMED))} + length({_escaped("role")}))) AS BIGINT) AS formatted_chars
 FROM t LEFT JOIN marks USING (role) GROUP BY conv_id""",
+    "op12_source_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (sum(coalesce(n.n, 0)) OVER s + 5 * count(*) OVER s) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(coalesce(n.n, 0)) OVER l + 5 * count(*) OVER s) AS q
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+  WINDOW s AS (PARTITION BY g.lang, g.source), l AS (PARTITION BY g.lang)),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN c x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN c y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM c WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50""",
 }
