@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, exact_dedup, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
+from . import chat, divergence, exact_dedup, lexical, licenses, mixing, packing, rollups, secrets, simhash, topk, toxicity, wrappers
 from .common import cut, read, shared_folder, word_count
 
 # Shares of tokens the mix aims at; a number tempers the shares the documents have.
@@ -116,9 +116,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_main_text, op4_license_scan, op5_top_k, op6_token_counts, op7_best_fit_packing,
-    op8_exact_dedup, op9_simhash, op10_toxicity, op11_chat_format, op12_source_divergence)}
+    op8_exact_dedup, op9_simhash, op10_toxicity, op11_chat_format, op12_source_divergence,
+    op13_lexical_search)}
 
 NOT_BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -215,4 +220,27 @@ r AS (
   SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM c WHERE n > 0 AND p > q),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
 SELECT * FROM o WHERE part = 'pair' OR rank <= 50""",
+    "op13_lexical_search": """
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM low),
+s AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+i AS (
+  SELECT p.r, p.doc_id, p.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS impact
+  FROM p JOIN w USING (term), s),
+f AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term)
+  GROUP BY item_id, r HAVING sum(impact) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
