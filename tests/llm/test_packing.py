@@ -7,15 +7,14 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from triage.llm.packing import best_two_fit, pack_documents
+from triage.llm.packing import Encoder, best_two_fit, pack_documents
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def ids_of():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(BPE)
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -45,9 +44,9 @@ def test_pieces_and_sequences(docs, ids_of):
     rnd = random.Random(3)
     rows = [(i, " ".join(rnd.choice(["lorem", "Ipsum,", "dólar\n", "  x", "的", "don't", "\t12345"]) for _ in range(rnd.randint(0, 120)))) for i in range(300)]
     rows += [(400, None), (401, ""), (402, "a<|endoftext|>b"), (403, "word " * 3000), (404, "z" * 5000), (None, "no id"), (1, "same"), (1, "same")]
-    bins, total = check(rows, pack_documents(docs(*rows), RANKS, 256), ids_of, 256)
+    bins, total = check(rows, pack_documents(docs(*rows), BPE, 256), ids_of, 256)
     assert bins <= -(-total // 256) * 1.02 + 1
-    assert pack_documents(docs(*rows).limit(0), RANKS).count() == 0
+    assert pack_documents(docs(*rows).limit(0), BPE).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -64,3 +63,18 @@ def test_the_smallest_gives_way_to_a_tighter_pair():
     # Greedy: 60 + 30, gap 10. 30 gives way to 21 + 19, which fill the gap of 40.
     bins = best_two_fit([60, 30, 21, 19], 100)
     assert sorted(sorted([60, 30, 21, 19][i] for i in b) for b in bins) == [[19, 21, 60], [30]]
+
+
+def test_added_tokens_are_one_id(ids_of):
+    assert Encoder(BPE)(["a <|endoftext|> b"])[0].tolist() == ids_of("a <|endoftext|> b")[:-1] == [64, 220, 50256, 275]
+
+
+def test_cut_texts_have_the_ids_of_whole_ones(ids_of):
+    rnd = random.Random(11)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x85", "'", "'s", "'ll", "a", "B", "word", "é", "ß", "Ø", "×", "÷", "е", "的", "1", "22",
+             "½", "-", "...", "<|endoftext|>", "<|end", "oftext|>", "\u0301", "\u200d", "😀", "\x00", "\x1f", "ª", "º", "ÿ", "À"]
+    texts = ["".join(rnd.choices(parts, [9, *[1] * (len(parts) - 1)], k=rnd.randint(0, 30))) for _ in range(4000)]
+    encode = Encoder(BPE)
+    for at in range(0, len(texts), 500):
+        some = texts[at:at + 500]
+        assert [t.tolist() for t in encode(some)] == [ids_of(t)[:-1] for t in some]

@@ -8,7 +8,9 @@ its last bins is small beside its size. Pieces that fill a sequence need no pack
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +19,93 @@ from .common import cut, per_batch
 CAPACITY = 2048
 # Pieces of a group, on average: about as many rows of a few numbers are in one task at a time.
 GROUP = 16_384
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Letters as every Unicode version has them. A byte-level BPE with spaces in front of words takes a run of
+# letters and the space before it as one word, so a text may be cut at such a space behind a visible
+# character, and between a letter and an ASCII character that is none.
+LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+WORD_SPACE = rf" (?<=[!-~{LATIN}] )(?=[{LATIN}])"
+WORD = rf"([{LATIN}]+)((?:[\x00-@\[-`{{-\x7F].*)?)"
+# Encoded words a task keeps, and the length of the longest of them.
+KNOWN_WORDS, KNOWN_LENGTH = 200_000, 48
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
-def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
+class Encoder:
+    """Ids of whole texts, as the tokenizer gives them.
+
+    Texts are cut where its words begin. Words seen before are looked up, new ones go to the tokenizer's BPE
+    model; whatever is not a plain word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import os
+        import re
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = [chr(c) for c in (32, *range(0xC0, 0x100))]
+        self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.cut, self.word = re.compile(WORD_SPACE).split, re.compile(WORD, re.DOTALL).fullmatch
+        self.known: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {"": []}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        heads, tails = [], []
+        for text in texts:
+            whole = any(m in text for m in self.marks)  # a mark is cut out of a text before its words are
+            head, *tail = [text] if whole else self.cut(text)
+            heads.append(head)
+            tails.append(tail)
+        new = list(set().union(*tails) - self.known.keys())
+        plain = {w: (m[1], m[2]) for w in new if len(w) <= KNOWN_LENGTH and (m := self.word(w))}
+        ends = list({end for _, end in plain.values()} - self.ends.keys())
+        other = [w for w in new if w not in plain]
+        coded = iter(self._encode([*heads, *ends, *(" " + w for w in other)]))
+        heads = [next(coded) for _ in heads]
+        self.ends.update((end, next(coded)) for end in ends)
+        self.known.update((w, next(coded)) for w in other)
+        space = self.as_bytes[32]
+        for w, (letters, end) in plain.items():
+            word = space + (letters if letters.isascii() else letters.translate(self.as_bytes))
+            self.known[w] = [t.id for t in self.model.tokenize(word)] + self.ends[end]
+        out = [np.fromiter(chain(head, chain.from_iterable(map(self.known.__getitem__, tail))), "<u4") for head, tail in zip(heads, tails)]
+        for w in other:
+            if len(w) > KNOWN_LENGTH:
+                del self.known[w]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+            self.ends = {"": []}
+        return out
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """A row for each piece of at most ``capacity`` ids: PIECES; ``deal`` spreads equal rows.
 
-    ``ranks_path`` is a byte-level BPE vocabulary as ranks ("token in base64, rank" lines) that every
-    executor can open. An id END_ID ends each document; null text is empty. Longer documents are cut
-    so that all pieces but the first are full.
+    ``tokenizer_path`` is a tokenizers JSON file of a byte-level BPE that every executor can open; marks it
+    knows as added tokens are one id in texts, too. An id END_ID ends each document; null text is empty.
+    Longer documents are cut so that all pieces but the first are full.
     """
 
     def start():
-        import base64
         import zlib
 
-        import numpy as np
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, lines)}
-        encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encode = Encoder(tokenizer_path)
         dealt = 0
 
         def call(ids, texts):
             nonlocal dealt
             out = ([], [], [], [], [], [])
-            for doc_id, text in zip(ids, texts):
-                tokens = np.array([*encoder.encode_ordinary(text or ""), END_ID], "<u4")
+            for doc_id, tokens in zip(ids, encode([t or "" for t in texts])):
+                tokens = np.append(tokens, np.array([END_ID], "<u4"))
                 at, k = 0, 0
                 end = len(tokens) % capacity or capacity
                 while at < len(tokens):
@@ -135,8 +193,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     groups = max(1, -(-part.count() // group))
 
     def pack_group(key, items):
-        import numpy as np
-
         items = items.sort_values(["length", "doc_id", "piece", "ids_crc32", "deal"], kind="stable", ignore_index=True)
         sequence, offset = np.zeros(len(items), "i8"), np.zeros(len(items), "i8")
         lengths = items["length"].tolist()
@@ -153,10 +209,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     return full.unionByName(keyed.groupBy("group").applyInPandas(pack_group, schema))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack whole documents; every row of ``docs`` is packed, repeated rows each.
 
     Null ids are kept as they are. Other columns are neither read nor returned.
     """
-    return pack(pieces(docs, ranks_path, capacity, id_col, text_col), capacity)
+    return pack(pieces(docs, tokenizer_path, capacity, id_col, text_col), capacity)
