@@ -31,7 +31,7 @@ def test_like_brute_force(spark, block_rows):
     rnd = np.random.default_rng(block_rows)
     rows = [(i, [float(np.float32(x)) for x in rnd.normal(0, .3, 8)]) for i in range(120)]
     rows += [(200 + i, rows[3][1]) for i in range(40)] + [(300, [0.0] * 8), (301, [-1.0] * 8), (302, None), (303, [None] * 8),
-             (304, [math.nan] * 8), (305, [math.inf] * 8), (306, []), (307, [0.5]), (None, [1.0] * 8)]
+             (304, [math.nan] * 8), (305, [math.inf] * 8), (306, []), (307, [0.5]), (None, [1.0] * 8), (308, [70000.0, 1.0]), (309, [-1e6] * 8), (310, [9e5, -1e6])]
     frame = spark.createDataFrame([(i, v, 0, 1, 2, 3) for i, v in rows], SCHEMA).repartition(5)
     queries = [r for r in rows if r[0] is None or r[0] % 10 == 0 or r[0] > 299]
     asked = spark.createDataFrame([(i, v, 0, 1, 2, 3) for i, v in queries + queries[:4]], SCHEMA)
@@ -54,3 +54,12 @@ def test_slices_add_up():
         slices, base = block.score_slices(q)
         bits = [np.unpackbits(s.view("u1"), bitorder="little")[:130].astype("i8") for s in slices]
         assert np.array_equal(base + sum(b << i for i, b in enumerate(bits)), values @ q)
+
+
+def test_what_does_not_fit_a_long_fails_by_name(spark):
+    frame = spark.createDataFrame([(1, [1e17], 0, 1, 2, 3), (2, [1.0], 0, 1, 2, 3)], SCHEMA)
+    with pytest.raises(Exception, match="component does not fit"):
+        top_k(frame, frame, 5).collect()
+    frame = spark.createDataFrame([(1, [1e10], 0, 1, 2, 3), (2, [-1e10], 0, 1, 2, 3)], SCHEMA)
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_k(frame, frame, 5).collect()

@@ -21,18 +21,23 @@ from pyspark.sql import functions as F
 SCALE = 256
 # Rows of a block, on average.
 BLOCK_ROWS = 16_384
-# Larger quantised components are out of range: products of them might not fit a score.
-LARGEST = 1 << 24
 BATCH = 512
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * component) as longs. Rows with a null id, a null vector, or a component
-    that is null, not finite or out of range (LARGEST) are left out: they take no part."""
+    that is null or not finite are left out: they take no part. A component that does not fit a long once
+    it is scaled fails the job, by name."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST / scale))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
-    return rows.select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+
+    def whole(x):
+        scaled = x * F.lit(float(scale))
+        wide = F.raise_error(F.concat(F.lit("component does not fit a long: "), x.cast("string"))).cast("long")
+        return F.when((scaled >= -(2.0 ** 63)) & (scaled < 2.0 ** 63), F.floor(scaled)).otherwise(wide)
+
+    return rows.select("id", F.transform("v", whole).alias("v"))
 
 
 class SlicedBlock:
@@ -43,10 +48,10 @@ class SlicedBlock:
         self.ids, values = ids[order], values[order]
         self.rows, self.width = len(ids), values.shape[1]
         self.low = values.min(axis=0) if self.rows and self.width else np.zeros(self.width, "i8")
-        shifted = values - self.low
-        self.top = shifted.max(axis=0) if self.rows and self.width else np.zeros(self.width, "i8")
+        shifted = values.view("u8") - self.low.view("u8")  # exact, as no difference passes 2^64
+        self.top = shifted.max(axis=0) if self.rows and self.width else np.zeros(self.width, "u8")
         self.bits = [int(t).bit_length() for t in self.top]
-        self.slices = [[_bitmap((shifted[:, d] >> b) & 1) for b in range(self.bits[d])] for d in range(self.width)]
+        self.slices = [[_bitmap(shifted[:, d] >> np.uint64(b) & np.uint64(1)) for b in range(self.bits[d])] for d in range(self.width)]
         self.all = _bitmap(np.ones(self.rows, "i8"))
 
     def score_slices(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
@@ -100,7 +105,10 @@ class SlicedBlock:
         scored = []
         for row in [*rows, *boundary]:
             at, bit = row >> 6, np.uint64(row & 63)
-            scored.append((int(self.ids[row]), base + sum(int(s[at] >> bit & np.uint64(1)) << b for b, s in enumerate(slices))))
+            score = base + sum(int(s[at] >> bit & np.uint64(1)) << b for b, s in enumerate(slices))
+            if not -(1 << 63) <= score < 1 << 63:
+                raise OverflowError(f"score {score} of query {own} and row {self.ids[row]} does not fit a long")
+            scored.append((int(self.ids[row]), score))
         return sorted(scored, key=lambda r: (-r[1], r[0]))
 
 
@@ -151,8 +159,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Rows with the query's id are not its candidates. Vectors of unequal length are filled up with
     zeros. Queries that repeat id and vector are one query; candidates that repeat are each a row. Null vectors and such with
-    null, non-finite or out-of-range components take no part. With fewer candidates all are returned,
-    with none no row.
+    null or non-finite components take no part; a component or one of the best scores that does not fit a
+    long fails the job. With fewer candidates all are returned, with none no row.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = quantised(queries, id_col, vector_col, scale).dropDuplicates(["id", "v"])
@@ -160,7 +168,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     held = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asked"), "id", "v")
     both = held.unionByName(asked.select(everywhere.alias("block"), F.lit(1).alias("asked"), "id", "v"))
-    dealt = both.repartition(3 * blocks, "block").sortWithinPartitions("block", "asked", "id")
+    # Blocks are few and all alike, so each is a partition of its own; a hash would put some together.
+    dealt = both.repartitionById(blocks, "block").sortWithinPartitions("block", "asked", "id")
     local = dealt.mapInArrow(lambda batches: _blocks(batches, k), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
