@@ -26,7 +26,7 @@ SCALE, SMOOTHING = 1_000_000_000, 5
 # Text counted at a time; a longer text is counted in pieces of about this size.
 SLICE_BYTES = 8 << 20
 # Values of one dense block of words and sources, and sources compared with all others in one task.
-BLOCK_CELLS, MOST_CELLS, TILE = 1 << 18, 1 << 22, 512
+BLOCK_CELLS, MOST_CELLS, TILE = 1 << 15, 1 << 22, 512
 
 COUNTS = "lang string, source string, term string, n long, docs long"
 
