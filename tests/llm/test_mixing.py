@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from triage.llm import mixing
 from triage.llm.mixing import OTHER, chance, mix, probabilities, rake, tempered_shares
 
 
@@ -69,17 +71,46 @@ def test_margins_of_weights_and_of_the_sample(corpus):
     assert again == {r.doc_id for r in drawn}
 
 
-def test_tempered_shares_and_empty(corpus, spark):
-    cells = spark.createDataFrame([("a", 900), ("b", 100), (None, 0), ("c", 0)], "s string, tokens bigint")
-    got = tempered_shares(cells, "s", 0.5)
+def test_tempered_shares_and_empty(corpus):
+    got = tempered_shares({"a": 900, "b": 100, "c": 0}, 0.5)
     assert np.allclose([got["a"], got["b"]], [.75, .25]) and set(got) == {"a", "b"}
+    assert tempered_shares({"a": 900, "b": 100}, 0) == {"a": .5, "b": .5} and tempered_shares({}, 0.5) == {}
     assert mix(corpus.limit(0), {"en": 1.0}, 0.9).count() == 0
-    with pytest.raises(ValueError):
-        mix(corpus, {str(i): 1.0 for i in range(1000)}, {str(i): 1.0 for i in range(1000)}, {"a": 1.0})
 
 
-def test_chance_is_uniform(spark):
-    from pyspark.sql import functions as F
+def test_more_sources_than_a_thousand_keep_their_margins(spark):
+    rows = [(k, "word " * (1 + k % 7), ("en", "de")[k // 1500 % 2], f"s{k % 1500}") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = mix(docs, {"en": .7, "de": .3}, 1.0, 0.0).groupBy("source").agg(F.sum(F.col("_weight") * F.col("_tokens")).alias("w")).collect()
+    total = sum(r.w for r in got)
+    assert len(got) == 1500 and all(abs(r.w / total - 1 / 1500) < 1e-6 for r in got)
+
+
+def test_margins_that_cannot_hold_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "x"), (2, "a", "de", "y")], "doc_id bigint, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="off their shares"):
+        mix(docs, {"en": .9, "de": .1}, 1.0, {"x": .1, "y": .9}).collect()
+
+
+def test_too_many_cells_are_refused(corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="cells"):
+        mix(corpus, {"en": 1.0}, 1.0)
 
+
+def test_columns_of_the_same_names(corpus):
+    names = ("_source_key", "_lang_key", "_topic", "_tokens", "_weight", "_probability", "_sampled", "_s", "_l", "_t", "_s0", "_l0", "_t0",
+             "_chosen_id", "_row_hash", "__x")
+    clashing = corpus.withColumns({n: F.lit(n) for n in names})
+    kept = mixing.keep_sampled(clashing, {"en": .5, "de": .3}, 1.0)
+    plain = mixing.keep_sampled(corpus, {"en": .5, "de": .3}, 1.0)
+    assert kept.columns == clashing.columns
+    assert sorted(map(str, kept.drop(*names).collect())) == sorted(map(str, plain.collect()))
+    assert kept.select(*names).distinct().collect() == [tuple(names)]
+    rows = mix(clashing, {"en": .5}, 1.0)
+    assert rows.columns == [*clashing.columns, "___topic", "___tokens", "___weight", "___probability", "___sampled"]
+
+
+def test_chance_is_uniform(spark):
     values = [r[0] for r in spark.range(4000).select(chance(F.col("id"), F.lit(""), 1)).collect()]
     assert 0 <= min(values) and max(values) < 1 and abs(np.mean(values) - .5) < .02

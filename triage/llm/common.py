@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triage.settings import shared_dir
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Words between the ASCII white space characters.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -58,15 +59,11 @@ def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    A folder of our own is set only where the session has none, as in tests on one machine.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    """The folder all executors share, as the session names it; off one machine it must name one."""
+    folder = shared_dir(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -84,6 +81,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """Underscores that no column of the frames begins with, for columns of our own."""
+    prefix = "_"
+    while any(c.startswith(prefix) for rows in frames for c in rows.columns):
+        prefix += "_"
+    return prefix
+
+
 def choose_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` names, each once, with all their columns.
 
@@ -91,12 +96,13 @@ def choose_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str)
     the first two; ``copies`` is how many rows of ``docs`` have that pair. Rows equal in both are
     the same document repeated: one of them stays. ``chosen`` is hashed, so texts are not sorted.
     """
-    names = ("_chosen_id", "_chosen_hash", "_chosen_copies")
-    chosen = chosen.select("id", "text_hash", "copies").toDF(*names)
-    keyed = docs.withColumn("_row_hash", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col("_row_hash") == F.col(names[1]))
-    if chosen.filter(F.col(names[2]) > 1).isEmpty():
-        return keyed.join(chosen.hint("shuffle_hash"), same, "left_semi").drop("_row_hash")
+    own = free_prefix(docs)
+    row_hash, chosen_id, chosen_hash, copies = (own + n for n in ("row_hash", "id", "hash", "copies"))
+    chosen = chosen.select("id", "text_hash", "copies").toDF(chosen_id, chosen_hash, copies)
+    keyed = docs.withColumn(row_hash, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(chosen_id)) & (F.col(row_hash) == F.col(chosen_hash))
+    if chosen.filter(F.col(copies) > 1).isEmpty():
+        return keyed.join(chosen.hint("shuffle_hash"), same, "left_semi").drop(row_hash)
     hit = keyed.join(chosen.hint("shuffle_hash"), same)
-    once, repeated = hit.filter(F.col(names[2]) == 1), hit.filter(F.col(names[2]) > 1)
-    return once.unionByName(repeated.dropDuplicates(["_row_hash", id_col])).select(*docs.columns)
+    once, repeated = hit.filter(F.col(copies) == 1), hit.filter(F.col(copies) > 1)
+    return once.unionByName(repeated.dropDuplicates([row_hash, id_col])).select(*docs.columns)
