@@ -26,13 +26,12 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample that meets the source, language and topic shares."""
-    rows = mixing.mix(docs, queries.LANGUAGES, queries.TOPICS, queries.SOURCES)
-    return rows.filter("_sampled").select(*docs.columns)
+    return mixing.keep_sampled(docs, queries.LANGUAGES, queries.TOPICS, queries.SOURCES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in a sequence of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", clean), ("exact dedup", unique), ("simhash near-dedup", unlike), ("mixing", mixed), ("packing", packed)]
