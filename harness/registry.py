@@ -17,7 +17,7 @@ from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tabl
 from triage.functions import clock
 from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, training
 from triage.operators.queues import QueueFilter
-from triage.plans.jobs import ingest, rebuild
+from triage.plans.jobs import edits_table, ingest, rebuild, save_edits
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
 from triage.settings import Settings, shared_dir, tune
@@ -26,6 +26,8 @@ from triage.sources.store import VersionedTable
 from triage.streaming.streams import append_stream, read_files, upsert_stream
 
 SETTINGS = Settings(tenant=TENANT, as_of=AS_OF)
+# Of a table of edits; some hundred thousand rows each at the size they are meant for.
+EDIT_BUCKETS = 16
 
 
 def rule() -> Rule:
@@ -57,14 +59,19 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def served(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The pipeline over stored content and tickets, as the rebuild job writes them."""
+    """The pipeline over stored content and tickets, as the rebuild job writes them, and over the newest
+    edits, kept by three batches of which the latest came first."""
     key, raw = _key(spark, sf_dir), workspace(spark, sf_dir)
     if key not in _served:
         root = scratch(spark, "stored")
         rebuild(raw, spark, root)
         content, stored = (VersionedTable(spark, f"{root}/{name}", _content_schema(rows), by_day=True).read()
                            for name, rows in (("content", raw.content), ("tickets", raw.rebuilt_tickets)))
-        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content, stored_tickets=stored, keyed=True)
+        newest = edits_table(spark, f"{root}/edits", EDIT_BUCKETS, _content_schema(_log(raw)))
+        for batch in _newest_come_first(_log(raw), "updated_at"):
+            save_edits(batch, newest)
+        _served[key] = Workspace(raw.inputs, SETTINGS, rule(), stored_content=content, stored_tickets=stored, keyed=True,
+                                 newest_edits=newest.read())
     return _served[key]
 
 
@@ -85,7 +92,8 @@ def _view(fn: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def _queue(**wanted) -> Callable[[SparkSession, str], DataFrame]:
-    return _view(lambda ws: queues.ticket_queue(ws.tickets, _log(ws), SETTINGS.now, QueueFilter(**wanted), ws.keyed))
+    return _view(lambda ws: queues.ticket_queue(
+        ws.tickets, ws.edits, SETTINGS.now, QueueFilter(**wanted), ws.keyed, settled=ws.settled))
 
 
 def _period(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -131,7 +139,7 @@ def _ticket_urgency(ws: Workspace) -> DataFrame:
 
 
 def _member_threads(ws: Workspace) -> DataFrame:
-    return queues.member_thread_tickets(ws.tickets, _log(ws), SETTINGS.now, _pairs(ws))
+    return queues.member_thread_tickets(ws.tickets, ws.edits, SETTINGS.now, _pairs(ws), ws.keyed, ws.settled)
 
 
 def _thread_timeline(ws: Workspace) -> DataFrame:
@@ -199,8 +207,7 @@ def _topic_responses(ws: Workspace) -> DataFrame:
 
 def _upsert_metadata(ws: Workspace) -> DataFrame:
     late = F.col("updated_at") >= F.lit(STORED_UNTIL).cast("timestamp_ntz")
-    stored = tickets.latest_metadata(_log(ws).filter(~late))
-    return edits.upsert(stored, _log(ws).filter(late), "content_id", tickets.EDIT_ORDER)
+    return edits.upsert(_log(ws).filter(~late), _log(ws).filter(late), "content_id", tickets.EDIT_ORDER)
 
 
 def _upsert_assignee(ws: Workspace) -> DataFrame:
@@ -282,7 +289,7 @@ def _stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace(spark, sf_dir)
     landing, out = scratch(spark, "landing"), scratch(spark, "metadata")
     schema = _content_schema(_log(ws))
-    table = VersionedTable(spark, out, schema)
+    table = edits_table(spark, out, EDIT_BUCKETS, schema)
     for part in _newest_come_first(_log(ws), "updated_at"):
         part.write.mode("append").parquet(landing)
         upsert_stream(read_files(spark, landing, schema), table, "content_id", f"{out}-checkpoint", "edits",
@@ -291,14 +298,17 @@ def _stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes arrive in three deliveries, the newest first, and then all of them once more."""
+    """Notes arrive in three deliveries, the newest first; then all of them once more, with other times and
+    with none."""
     notes = workspace(spark, sf_dir).inputs.ticket_comments
     landing, out = scratch(spark, "landing"), scratch(spark, "notes")
-    for part in [*_newest_come_first(notes, "created_at"), notes]:
+    undated = notes.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    shifted = notes.withColumn("created_at", F.expr("created_at + INTERVAL 40 DAYS"))
+    for part in [*_newest_come_first(notes, "created_at"), notes, shifted, undated]:
         part.write.mode("append").parquet(landing)
         stream = read_files(spark, landing, notes.schema)
         append_stream(stream, "comment_id", out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.schema(notes.schema).parquet(out)
+    return reader.read_log(spark, out, notes.schema)
 
 
 def _metadata_migration(ws: Workspace) -> DataFrame:
@@ -331,6 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topic_responses": _view(_topic_responses),
         "label_inputs": _view(lambda ws: scoring.label_inputs(scoring.unlabelled_questions(ws.content, ws.labels))),
         # Views over live tickets
+        "newest_edits": _view(lambda ws: ws.edits),
         "live_tickets": _view(lambda ws: ws.live),
         "ticket_queue": _queue(),
         "ticket_queue_open": _queue(status="open"),
@@ -343,7 +354,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tickets_this_month": _period("this month"),
         "ticket_urgency": _view(_ticket_urgency),
         "ticket_detail": _view(lambda ws: queues.ticket_detail(
-            ws.tickets, _log(ws), SETTINGS.now, ws.inputs.ticket_comments)),
+            ws.tickets, ws.edits, SETTINGS.now, ws.inputs.ticket_comments, ws.settled)),
         "member_history": _view(lambda ws: queues.member_history(ws.tickets)),
         "member_thread_tickets": _view(_member_threads),
         "member_thread_split": _view(lambda ws: queues.split_open(_member_threads(ws))),
@@ -351,7 +362,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_queue": _view(lambda ws: queues.review_queue(ws.tickets)),
         "review_progress": _view(lambda ws: queues.review_progress(ws.tickets)),
         "queue_grouped": _view(lambda ws: queues.queue_grouped(
-            ws.tickets, _log(ws), SETTINGS.now, keyed=ws.keyed)),
+            ws.tickets, ws.edits, SETTINGS.now, keyed=ws.keyed, settled=ws.settled)),
         "coach_list": _raw(lambda ws: queues.coach_list(ws.inputs.coaches)),
         "coach_names": _raw(lambda ws: queues.coach_names(ws.inputs.coaches)),
         "member_search": _raw(lambda ws: queues.member_search(

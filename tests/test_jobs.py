@@ -12,6 +12,7 @@ from triage.operators.joins import IdSet
 from triage.plans import jobs
 from triage.plans.workspace import Inputs, Workspace
 from triage.schemas import TABLES
+from triage.sources.reader import read_log
 from triage.sources.store import VersionedTable
 from triage.streaming import streams
 
@@ -121,7 +122,7 @@ def test_repeated_events_are_appended_once(spark, frame, tmp_path):
     rows.write.parquet(landing)
     stream = streams.read_files(spark, landing, rows.schema)
     streams.append_stream(stream, "log_id", out, str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    assert sorted(r.log_id for r in read_log(spark, out, rows.schema).collect()) == ["a", "b"]
 
 
 LAZY = [n for n in registry.queries() if not n.startswith("stream") and n not in ("incremental_upsert", "append_events")]
@@ -205,6 +206,42 @@ def test_a_short_list_leaves_other_bodies_where_they_are(spark, whole_plans):
     assert values(long) == values(short)
 
 
+def test_lists_read_the_newest_edits_and_compare_none(spark):
+    served = registry.served(spark, SF_DIR)
+    for name in ("ticket_queue", "ticket_queue_open", "queue_grouped", "ticket_detail", "member_thread_tickets", "live_tickets", "open_stats"):
+        plan = registry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan, name
+    assert served.settled and values(served.metadata) == values(registry.workspace(spark, SF_DIR).metadata)
+
+
+def test_an_upsert_of_all_edits_has_one_exchange(spark):
+    plan = registry.queries()["upsert_metadata"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_newest_edits_do_not_depend_on_batches(spark, frame, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    schema = "content_id string, status string, assigned_to string, updated_at timestamp_ntz, difficulty string, domain string, feedback_reason string"
+    rows = [(f"i{rnd.randint(0, 20)}", rnd.choice([None, "", "open", "closed"]), rnd.choice([None, "c"]),
+             rnd.choice([None, at("2024-01-01"), at("2024-01-02")]), None, rnd.choice([None, "d"]), None) for _ in range(120)]
+    want = values(registry.tickets.latest_metadata(frame(schema, *rows)))
+    for number, step in enumerate((120, 37)):
+        rnd.shuffle(rows)
+        table = jobs.edits_table(spark, str(tmp_path / str(number)), 4)
+        for k in range(0, len(rows), step):
+            jobs.save_edits(frame(schema, *rows[k:k + step]), table, commit_key=str(k))
+            jobs.save_edits(frame(schema, *rows[k:k + step]), table, commit_key=str(k))
+        assert values(table.read()) == want
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_tickets_are_the_same_however_many_people_there_are(spark, ws, few):
+    made = Workspace(ws.inputs, replace(registry.SETTINGS, broadcast_rows=1_000_000 if few else 0), registry.rule())
+    assert made.few_people == few and values(made.rebuilt_tickets) == values(ws.rebuilt_tickets)
+
+
 @pytest.mark.parametrize("max_rows", [-1, 100])
 def test_copies_of_one_time_are_not_mixed(spark, frame, max_rows):
     made = at("2024-01-05")

@@ -9,9 +9,9 @@ from triage.sources.store import VersionedTable
 SCHEMA = schema_of("k string not null, v string, created_at timestamp_ntz")
 
 
-@pytest.fixture(params=[False, True], ids=["whole", "by_day"])
+@pytest.fixture(params=[{}, {"by_day": True}, {"buckets": 4, "key": "k"}], ids=["whole", "by_day", "buckets"])
 def table(spark, tmp_path, request):
-    return VersionedTable(spark, str(tmp_path / "t"), SCHEMA, by_day=request.param)
+    return VersionedTable(spark, str(tmp_path / "t"), SCHEMA, **request.param)
 
 
 def rows(spark, *items):
@@ -43,10 +43,38 @@ def test_only_touched_days_are_rewritten(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, by_day=True)
     table.replace(rows(spark, ("a", "1", 1), ("b", "1", 2)))
     table.upsert(rows(spark, ("c", "1", 2)), "k")
-    assert sorted(p.name for p in (tmp_path / "t/data").glob("folder=*/day=*")) == ["day=2024-01-01", "day=2024-01-02", "day=2024-01-02"]
+    assert sorted(p.name for p in (tmp_path / "t/data").glob("folder=*/part=*")) == ["part=2024-01-01", "part=2024-01-02", "part=2024-01-02"]
     assert held(table) == [("a", "1"), ("b", "1"), ("c", "1")]
 
 
+def folders(tmp_path):
+    return {p.name: p.parent.name for p in (tmp_path / "t/data").glob("folder=*/part=*")}
+
+
+def test_a_change_leaves_the_buckets_of_other_keys_alone(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, buckets=64, key="k")
+    table.replace(rows(spark, *((f"k{i}", "1", 1 + i % 20) for i in range(300))))
+    before = table._live()
+    assert len(before) > 50
+    change = rows(spark, ("k7", "2", 25), ("new", "2", None))
+    table.upsert(change, "k")
+    after, touched = table._live(), table._parts_of(change)
+    assert len(touched) == 2 and {p for p in after if after[p] != before.get(p)} == touched
+    assert len(table.read_keys(change).inputFiles()) == 2
+    assert values(table.read_keys(change).select("k", "v")) == [("k7", "2"), ("new", "2")]
+    table.delete(rows(spark, ("k8", "", 1)), "k")
+    assert {p for p in after if after[p] != table._live().get(p)} == table._parts_of(rows(spark, ("k8", "", 1)))
+    assert len(held(table)) == 300 and ("k8", "1") not in held(table)
+
+
+def test_buckets_cannot_be_taken_for_others(spark, tmp_path):
+    VersionedTable(spark, str(tmp_path / "t"), SCHEMA, buckets=4, key="k").replace(rows(spark, ("a", "1", 1)))
+    with pytest.raises(ValueError, match="8 buckets"):
+        VersionedTable(spark, str(tmp_path / "t"), SCHEMA, buckets=8, key="k").read()
+    with pytest.raises(ValueError, match="need a key"):
+        VersionedTable(spark, str(tmp_path / "t"), SCHEMA, buckets=8)
+
+
 def test_commit_counts_once(spark, table):
     assert table.upsert(rows(spark, ("a", "1", 1)), "k", commit_key="s:0")
     assert not table.upsert(rows(spark, ("a", "2", 1)), "k", commit_key="s:0")

@@ -13,15 +13,45 @@ from triage.operators.joins import latest_per_key
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
-    """Update the columns ``changes`` carries where the key matches, insert the rest.
-
-    Of several changes to one key the one with the largest values of the ``order`` columns counts
-    (of all its columns where no order is given), NULL being the smallest. Where the stored rows have
-    the order columns too, a change that is older than the stored row does nothing, so the result does
-    not depend on how changes are split into batches or on the order in which these arrive. Stored
-    columns that ``changes`` lacks keep their value (NULL for new rows). Building the plan runs
-    nothing; adaptive execution broadcasts the changes where they turn out small.
+    """Update the columns ``changes`` carries where the key matches, insert the rest: one row per key.
+
+    Stored and changed rows meet in one aggregation, which keeps the newest of each kind per key, on the map
+    side already, and then chooses per column. Of several changes to one key the one with the largest
+    values of the ``order`` columns counts, equal ones settled by the other columns, NULL being the smallest.
+    Where the stored rows have the order columns too, a change that is older than the stored row does
+    nothing, so the result does not depend on how changes are split into batches or on the order in which
+    these arrive. Stored columns that ``changes`` lacks keep their value (NULL for new rows). Several stored
+    rows of a key become one, by the same rule. Building the plan runs nothing.
     """
+    ranks = list(order or [])
+    ranked = order is not None and set(order) <= set(stored.columns)
+    old, new = _aged(stored, key, ranks if ranked else [], "_old"), _aged(changes, key, ranks, "_new")
+    both = old.unionByName(new, allowMissingColumns=True)
+    newest = both.groupBy(key).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    counts = F.col("_new").isNotNull()
+    if ranked:
+        counts = counts & (F.col("_old").isNull() | (F.col("_new.rank") >= F.col("_old.rank")))
+
+    def value(side: str, column: str, ranks: Sequence[str]) -> Column:
+        return F.col(f"{side}.{'rank' if column in ranks else 'rest'}.`{column}`")
+
+    def chosen(column: str) -> Column:
+        kept = value("_old", column, ranks if ranked else [])
+        return F.when(counts, value("_new", column, ranks)).otherwise(kept) if column in changes.columns else kept
+
+    return newest.select(*(F.col(c) if c == key else chosen(c).alias(c) for c in stored.columns))
+
+
+def _aged(rows: DataFrame, key: str, ranks: Sequence[str], name: str) -> DataFrame:
+    """The rows as one value each, ordered by ``ranks`` and then by all other columns."""
+    rest = [F.col(c) for c in rows.columns if c != key and c not in ranks] or [F.lit(True).alias("_any")]
+    whole = F.struct(*([F.struct(*ranks).alias("rank")] if ranks else []), F.struct(*rest).alias("rest"))
+    return rows.select(key, whole.alias(name))
+
+
+def upsert_bodies(stored: DataFrame, changes: DataFrame, key: str, order: Sequence[str] | None = None) -> DataFrame:
+    """``upsert`` for tables with one row per key whose rows are long: these are joined, not sorted, and stay
+    where they are if adaptive execution finds the changes small. Of equal changes any one counts."""
     # Repeated keys do no harm in semi and anti joins, and finding the newest may be costly.
     keys = changes.select(key)
     ranks = list(order) if order is not None else [c for c in changes.columns if c != key]

@@ -85,7 +85,7 @@ def with_list_columns(tickets: DataFrame, now: Column, length: int = v.LIST_PREV
 
 
 def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column, wanted: QueueFilter = QueueFilter(),
-                 keyed: bool = False, max_rows: int = LIST_ROWS) -> DataFrame:
+                 keyed: bool = False, max_rows: int = LIST_ROWS, settled: bool = False) -> DataFrame:
     """Live tickets that meet every condition, newest first.
 
     Conditions on the stored rows reach the scan. The others run without the bodies, and the rows that
@@ -98,9 +98,9 @@ def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column, wanted: Queue
         rows = rows.filter(condition)
     narrow = [c for c in stored.columns if c != "body"]
     marked = rows.withColumn("_row", F.xxhash64(*narrow))
-    kept = _meeting(live_tickets(marked.drop("body"), edits, keyed), wanted, now)
+    kept = _meeting(live_tickets(marked.drop("body"), edits, keyed, settled), wanted, now)
     ids = kept.select("content_id", "_row")
-    carried = _meeting(live_tickets(rows, edits, keyed), wanted, now).drop("live_updated_at")
+    carried = _meeting(live_tickets(rows, edits, keyed, settled), wanted, now).drop("live_updated_at")
     if not is_small(ids, max_rows):
         return with_list_columns(carried, now).orderBy(*newest_first())
     bodies = marked.select("content_id", "_row", "body").join(F.broadcast(ids), ["content_id", "_row"], "left_semi")
@@ -116,17 +116,18 @@ def _meeting(live: DataFrame, wanted: QueueFilter, now: Column) -> DataFrame:
     return live
 
 
-def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame) -> DataFrame:
+def ticket_detail(stored: DataFrame, edits: DataFrame, now: Column, ids: DataFrame, settled: bool = False) -> DataFrame:
     """Tickets of a set of ids, whole; both sides are narrowed before they meet."""
     asked = ids.select("content_id")
-    wanted = overlay(stored.join(asked, "content_id", "left_semi"), edits.join(asked, "content_id", "left_semi"))
+    wanted = overlay(stored.join(asked, "content_id", "left_semi"), edits.join(asked, "content_id", "left_semi"), settled)
     return wanted.withColumn("urgency", clock.urgency(F.col("created_at"), now)).drop("live_updated_at")
 
 
-def member_thread_tickets(stored: DataFrame, edits: DataFrame, now: Column, pairs: DataFrame) -> DataFrame:
+def member_thread_tickets(stored: DataFrame, edits: DataFrame, now: Column, pairs: DataFrame, keyed: bool = False,
+                          settled: bool = False) -> DataFrame:
     """Every ticket of the given (thread, member) pairs, whatever its status, oldest first."""
     asked = pairs.select("thread_id", "member_id")
-    wanted = live_tickets(stored.join(asked, ["thread_id", "member_id"], "left_semi"), edits)
+    wanted = live_tickets(stored.join(asked, ["thread_id", "member_id"], "left_semi"), edits, keyed, settled)
     return (
         with_list_columns(wanted, now, v.GROUP_PREVIEW)
         .drop("live_updated_at")
@@ -175,12 +176,12 @@ def review_progress(tickets: DataFrame) -> DataFrame:
 
 
 def queue_grouped(stored: DataFrame, edits: DataFrame, now: Column, wanted: QueueFilter = QueueFilter(),
-                  keyed: bool = False) -> DataFrame:
+                  keyed: bool = False, settled: bool = False) -> DataFrame:
     """The queue with one row per member and thread; one scan, bodies are cut to previews in it."""
     short = stored.withColumn("body", preview(F.col("body"), v.LIST_PREVIEW))
     for condition in wanted.stored_conditions(keyed):
         short = short.filter(condition)
-    return group_queue(with_list_columns(_meeting(live_tickets(short, edits, keyed), wanted, now), now))
+    return group_queue(with_list_columns(_meeting(live_tickets(short, edits, keyed, settled), wanted, now), now))
 
 
 def group_queue(queue: DataFrame) -> DataFrame:

@@ -56,13 +56,15 @@ def member_assignments(content: DataFrame, metadata: DataFrame, overrides: DataF
 
 
 def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metadata: DataFrame,
-            labels: DataFrame, assignments: DataFrame) -> DataFrame:
+            labels: DataFrame, assignments: DataFrame, few_people: bool = False) -> DataFrame:
     """Star of left joins around the content.
 
     Everything is joined by ``content_id``, so one exchange of the content at most serves all. What
-    is keyed by member is put together beforehand and joined to the two ids of each item: ids and
-    profiles travel to the bodies, and a prolific author's bodies never gather under one key. An
-    author outside the member table keeps NULL profile fields but still gets the coach.
+    is keyed by member is put together beforehand. ``few_people`` says that members and coached authors
+    were counted and may be broadcast: they then meet the items where these are. Else they are joined to
+    the two ids of each item: ids and profiles travel to the bodies, and a prolific author's bodies never
+    gather under one key. An author outside the member table keeps NULL profile fields but still gets
+    the coach.
     """
     profile = members.select(
         "member_id", F.col("full_name").alias("member_name"), "first_name", "last_name",
@@ -85,9 +87,12 @@ def tickets(content: DataFrame, members: DataFrame, engagement: DataFrame, metad
         .join(edits, "content_id", "left")
         .join(topics, "content_id", "left")
     )
-    authors = content.select("content_id", F.col("member_id").alias("_author"))
-    by_item = authors.filter(F.col("_author").isNotNull()).distinct().join(people, "_author")
-    joined = joined.join(by_item, ["content_id", "_author"], "left")
+    if few_people:
+        joined = joined.join(F.broadcast(people), "_author", "left")
+    else:
+        authors = content.select("content_id", F.col("member_id").alias("_author"))
+        by_item = authors.filter(F.col("_author").isNotNull()).distinct().join(people, "_author")
+        joined = joined.join(by_item, ["content_id", "_author"], "left")
     engaged = rules.staff_engaged(*(F.col(s) for s in SIGNALS))
     return (
         joined.withColumn("ticket_status",
@@ -106,18 +111,19 @@ def newest_copy(stored: DataFrame) -> DataFrame:
     return latest_per_key(stored, ["content_id"], [F.col("created_at").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]])
 
 
-def live_tickets(stored: DataFrame, edits: DataFrame, keyed: bool = False) -> DataFrame:
+def live_tickets(stored: DataFrame, edits: DataFrame, keyed: bool = False, settled: bool = False) -> DataFrame:
     """Stored tickets under the newest edit of each; columns a stored version lacks are tolerated.
 
     ``keyed`` says that the stored table has one row for each item, as jobs and upserts write it;
-    then no row is compared with others.
+    then no row is compared with others. ``settled`` says the same of the edits, as ``jobs.save_edits``
+    keeps them; else the newest are found among all edits ever made.
     """
-    return overlay(stored if keyed else newest_copy(stored), edits)
+    return overlay(stored if keyed else newest_copy(stored), edits, settled)
 
 
-def overlay(stored: DataFrame, edits: DataFrame) -> DataFrame:
+def overlay(stored: DataFrame, edits: DataFrame, settled: bool = False) -> DataFrame:
     """The live columns without the de-duplication of ``live_tickets``."""
-    newest = latest_metadata(edits).select(
+    newest = (edits if settled else latest_metadata(edits)).select(
         "content_id", F.col("status").alias("_status"), F.col("assigned_to").alias("_assigned"),
         F.col("domain").alias("_domain"), F.col("updated_at").alias("_edited_at"),
     )

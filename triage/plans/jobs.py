@@ -26,7 +26,7 @@ def refresh_tickets(ws: Workspace, spark: SparkSession, root: str, *, content: D
     """Only what an edit of an assignee changes: assignments and tickets."""
     assigned = _replaced(spark, f"{root}/member_assignments", tickets.member_assignments(
         content, ws.metadata, ws.inputs.member_assignment_overrides))
-    rows = tickets.tickets(content, people, engaged, ws.metadata, ws.labels, assigned)
+    rows = tickets.tickets(content, people, engaged, ws.metadata, ws.labels, assigned, ws.few_people)
     return _replaced(spark, f"{root}/tickets", rows, by_day=True)
 
 
@@ -64,9 +64,20 @@ def roll_prompt_forward(ws: Workspace, responses: DataFrame, table: VersionedTab
     return table.upsert(row, "version", commit_key=commit_key)
 
 
+def edits_table(spark: SparkSession, path: str, buckets: int, schema: T.StructType = TABLES["ticket_metadata"]) -> VersionedTable:
+    """Where edits are kept, one row for each item. ``buckets`` stays as it is for good: a few hundred
+    thousand items in each are rewritten at once, so choose it for the size the table may reach."""
+    return VersionedTable(spark, path, schema, buckets=buckets, key="content_id")
+
+
 def save_edits(changes: DataFrame, table: VersionedTable, commit_key: str | None = None) -> bool:
-    """Edits of status, assignee, domain or reason; the newest per item counts."""
-    return table.upsert(changes, "content_id", ["updated_at"], commit_key)
+    """Edits of status, assignee, domain or reason; the newest per item is kept, by ``tickets.EDIT_ORDER``.
+
+    The table is what ``tickets.latest_metadata`` finds among all edits ever made, brought up to date by
+    each batch: however edits are split into batches and in whichever order these come.
+    """
+    order = [c for c in tickets.EDIT_ORDER if c in changes.columns]
+    return table.upsert(changes, "content_id", order, commit_key)
 
 
 def migrate_metadata(table: VersionedTable) -> bool:

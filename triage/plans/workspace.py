@@ -50,13 +50,24 @@ class Workspace:
 
     def __init__(self, inputs: Inputs, settings: Settings, rule: Rule | None = None,
                  stored_content: DataFrame | None = None, stored_tickets: DataFrame | None = None,
-                 keyed: bool = False):
+                 keyed: bool = False, newest_edits: DataFrame | None = None):
         if inputs.question_scores is None and rule is None:
             raise ValueError("either stored scores or a rule is needed")
         self.inputs, self.settings, self.rule = inputs, settings, rule
         self._stored_content, self._stored_tickets = stored_content, stored_tickets
         # Stored tickets have one row for each item, as ``jobs.rebuild`` writes them.
         self.keyed = keyed
+        # One row for each edited item, as ``jobs.save_edits`` keeps it; else all edits are compared.
+        self._newest_edits = newest_edits
+
+    @property
+    def settled(self) -> bool:
+        return self._newest_edits is not None
+
+    @property
+    def edits(self) -> DataFrame:
+        """What lists lay over the stored tickets: the newest edits if they are kept, else all of them."""
+        return self._newest_edits if self.settled else self.inputs.ticket_metadata
 
     @property
     def _tenant(self) -> str:
@@ -123,7 +134,7 @@ class Workspace:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return tickets.latest_metadata(self.inputs.ticket_metadata)
+        return self.edits if self.settled else tickets.latest_metadata(self.edits)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -137,7 +148,13 @@ class Workspace:
     @cached_property
     def rebuilt_tickets(self) -> DataFrame:
         return tickets.tickets(self.content, self.members, self.engagement, self.metadata,
-                               self.labels, self.assignments)
+                               self.labels, self.assignments, self.few_people)
+
+    @cached_property
+    def few_people(self) -> bool:
+        """Whether members and coached authors may be broadcast; edited items are no fewer than the latter.
+        Profiles are some hundred bytes, hence the share of the bound for ids."""
+        return self.members.count() + self.edits.count() <= self._bound // 5
 
     @property
     def tickets(self) -> DataFrame:
@@ -146,7 +163,7 @@ class Workspace:
 
     @cached_property
     def live(self) -> DataFrame:
-        return tickets.live_tickets(self.tickets, self.inputs.ticket_metadata, self.keyed)
+        return tickets.live_tickets(self.tickets, self.edits, self.keyed, self.settled)
 
     @cached_property
     def feedback(self) -> DataFrame:

@@ -26,6 +26,11 @@ def append(rows: DataFrame, path: str, schema: T.StructType) -> None:
     require(rows, schema).write.mode("append").parquet(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """An append-only table: rows added by jobs and the folders of stream batches."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def by_created_date(rows: DataFrame) -> DataFrame:
     """Rows with the partition column of date-partitioned tables."""
     return rows.withColumn("created_date", F.to_date("created_at"))

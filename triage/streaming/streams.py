@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from triage.operators.joins import latest_per_key
-from triage.sources.reader import append, create_if_absent
+from triage.operators.edits import require
+from triage.sources.reader import create_if_absent
 from triage.sources.store import VersionedTable
 
+# State on local disk with a change log in the checkpoint, so that it may outgrow memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType,
                files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -33,41 +36,35 @@ def upsert_stream(stream: DataFrame, table: VersionedTable, key: str, checkpoint
 
     Rows count by the arrival of their file, so late rows are not missed as a high-water mark would
     miss them. With ``order`` an older change never replaces a newer stored row, so neither the size
-    of batches nor the order of files shows in the table. ``key_moves=False`` promises that the source
-    never changes the day of a key.
+    of batches nor the order of files shows in the table. A table with buckets rewrites only those of the
+    keys of a batch; of a table by days ``key_moves=False`` promises that the source never changes the day
+    of a key.
     """
 
     def apply(rows: DataFrame, batch_id: int) -> None:
-        target = VersionedTable(rows.sparkSession, table.root, table.schema, table.by_day)
-        target.upsert(transform(rows), key, order, commit_key=f"{_identity(rows)}:{batch_id}", key_moves=key_moves)
+        table.on(rows.sparkSession).upsert(transform(rows), key, order, commit_key=f"{_identity(rows)}:{batch_id}", key_moves=key_moves)
 
     return _run(stream.writeStream.queryName(name), apply, checkpoint)
 
 
 def append_stream(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each key once, however late it comes; nothing is discarded but repeats of a key.
-
-    A key has one ``created_at``, so of the stored rows only the keys within the times of the batch
-    are read. A batch that is run again after a failure finds its own rows and adds the missing ones.
+    """Append each key once, however late or changed its repeats come; only they are discarded.
+
+    The keys seen are the state of the stream, kept for good: there is no watermark, so a row may be late
+    by any time or have none. They lie on the executors' disks in the state store, dealt by key, and a
+    batch looks up its own keys only, never the stored rows. The first row of a key to arrive is the one
+    stored; of repeats within one batch any one. Rows without a key are one. Each batch is a folder of its
+    own that a batch run again after a failure replaces, so rows are neither lost nor doubled. Keys that
+    other jobs append to the same path are not known to the stream.
     """
-    schema = stream.schema
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def apply(rows: DataFrame, batch_id: int) -> None:
-        batch = rows.persist()
-        try:
-            first, last = batch.agg(F.min("created_at"), F.max("created_at")).first()
-            create_if_absent(batch.sparkSession, path, schema)
-            stored = batch.sparkSession.read.schema(schema).parquet(path)
-            within = F.col("created_at").isNull()
-            if first is not None:
-                within = within | F.col("created_at").between(F.lit(first), F.lit(last))
-            once = latest_per_key(batch, [key], [F.col(c).desc_nulls_last() for c in schema.names if c != key])
-            fresh = once.join(stored.filter(within).select(key), key, "left_anti")
-            append(fresh.select(*schema.names), path, schema)
-        finally:
-            batch.unpersist()
-
-    return _run(stream.writeStream, apply, checkpoint)
+        create_if_absent(rows.sparkSession, path, schema)
+        require(rows, schema).write.mode("overwrite").parquet(f"{path}/batch-{_identity(rows)}-{batch_id}")
+
+    schema = stream.schema
+    return _run(stream.dropDuplicates([key]).writeStream, apply, checkpoint)
 
 
 def _identity(rows: DataFrame) -> str:
