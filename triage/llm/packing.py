@@ -7,8 +7,8 @@ its last bins is small beside its size. Pieces that fill a sequence need no pack
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right, insort
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +34,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
-    Texts are cut where its words begin. Words seen before are looked up, new ones go to the tokenizer's BPE
-    model; whatever is not a plain word goes through the whole tokenizer.
+    Texts are cut where words begin, and each is encoded once: words seen before are looked up, new plain
+    words go through the tokenizer many at a time, whatever is not a plain word goes by itself.
     """
 
     def __init__(self, path: str):
@@ -46,13 +46,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        letters = [chr(c) for c in (32, *range(0xC0, 0x100))]
-        self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        spaced = [n for t, n in self.tokenizer.get_vocab().items() if t.startswith(space)]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[spaced] = True
         self.cut, self.word = re.compile(WORD_SPACE).split, re.compile(WORD, re.DOTALL).fullmatch
-        self.known: dict[str, list[int]] = {}
-        self.ends: dict[str, list[int]] = {"": []}
+        # Ids as bytes, so that those of a text are joined and not converted one by one.
+        self.known: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         heads, tails = [], []
@@ -69,21 +71,30 @@ class Encoder:
         heads = [next(coded) for _ in heads]
         self.ends.update((end, next(coded)) for end in ends)
         self.known.update((w, next(coded)) for w in other)
-        space = self.as_bytes[32]
+        known, suffix, letters = self.known, self.ends, list({letters for letters, _ in plain.values()})
+        coded_letters = dict(zip(letters, self._encode_words(letters)))
         for w, (letters, end) in plain.items():
-            word = space + (letters if letters.isascii() else letters.translate(self.as_bytes))
-            self.known[w] = [t.id for t in self.model.tokenize(word)] + self.ends[end]
-        out = [np.fromiter(chain(head, chain.from_iterable(map(self.known.__getitem__, tail))), "<u4") for head, tail in zip(heads, tails)]
+            known[w] = coded_letters[letters] + suffix[end]
+        out = [np.frombuffer(head + b"".join(map(known.__getitem__, tail)), "<u4") for head, tail in zip(heads, tails)]
         for w in other:
             if len(w) > KNOWN_LENGTH:
                 del self.known[w]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-            self.ends = {"": []}
+            self.ends = {"": b""}
         return out
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str], together: int = 128) -> list[bytes]:
+        """Ids of plain words with a space before each: many in one text, cut where a token has the space."""
+        texts = ["".join(" " + w for w in words[at:at + together]) for at in range(0, len(words), together)]
+        data = b"".join(self._encode(texts))
+        ids = np.frombuffer(data, "<u4")
+        first = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+        assert len(first) == len(words)
+        return [data[a:b] for a, b in zip(first, [*first[1:], len(data)])]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
