@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
 from triage.functions import clock
-from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, training
+from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, totals, training
 from triage.operators.queues import QueueFilter
-from triage.plans.jobs import edits_table, ingest, rebuild, save_edits
+from triage.plans.indicators import LiveIndicators
+from triage.plans.jobs import edits_table, ingest, rebuild, report_totals_table, save_edits
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
 from triage.settings import Settings, shared_dir, tune
@@ -41,6 +42,8 @@ def rule() -> Rule:
 _workspaces: dict[tuple[str, str], Workspace] = {}
 _responses: dict[tuple[str, str], DataFrame] = {}
 _served: dict[tuple[str, str], Workspace] = {}
+_roots: dict[tuple[str, str], str] = {}
+_indicators: dict[tuple[str, str], LiveIndicators] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -63,7 +66,7 @@ def served(spark: SparkSession, sf_dir: str) -> Workspace:
     edits, kept by three batches of which the latest came first."""
     key, raw = _key(spark, sf_dir), workspace(spark, sf_dir)
     if key not in _served:
-        root = scratch(spark, "stored")
+        root = _roots[key] = scratch(spark, "stored")
         rebuild(raw, spark, root)
         content, stored = (VersionedTable(spark, f"{root}/{name}", _content_schema(rows), by_day=True).read()
                            for name, rows in (("content", raw.content), ("tickets", raw.rebuilt_tickets)))
@@ -75,6 +78,20 @@ def served(spark: SparkSession, sf_dir: str) -> Workspace:
     return _served[key]
 
 
+def indicators(spark: SparkSession, sf_dir: str) -> LiveIndicators:
+    """Totals that begin with the stored tickets and count three batches of edits, the latest first and one
+    of them twice."""
+    key, ws = _key(spark, sf_dir), served(spark, sf_dir)
+    if key not in _indicators:
+        made = LiveIndicators(spark, f"{_roots[key]}/indicators", EDIT_BUCKETS)
+        made.rebuild(ws.tickets)
+        batches = _newest_come_first(_log(ws), "updated_at")
+        for number, batch in enumerate([*batches, batches[0]]):
+            made.apply(batch, f"batch-{number % len(batches)}")
+        _indicators[key] = made
+    return _indicators[key]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/triage/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -115,6 +132,15 @@ def _report(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return _view(lambda ws: fn(ws.tickets, _date(REPORT_DAYS[0]), _date(REPORT_DAYS[1])))
 
 
+def _totalled(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        served(spark, sf_dir)
+        kept = report_totals_table(spark, _roots[_key(spark, sf_dir)]).read()
+        return fn(kept, _date(REPORT_DAYS[0]), _date(REPORT_DAYS[1]))
+
+    return query
+
+
 def _null_aware_anti(ws: Workspace) -> DataFrame:
     keyed = ws.inputs.core_members.withColumn(
         "_key", F.when(F.col("network_role").isNotNull(), F.col("member_id")))
@@ -380,6 +406,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "response_summary": _report(lambda *a: reports.response_summary(reports.response_minutes(*a))),
         "report_productivity": _report(reports.productivity),
         "report_domain": _report(reports.topic_breakdown),
+        # The same from totals that are kept
+        "open_stats_kept": lambda spark, sf_dir: indicators(spark, sf_dir).open_stats(SETTINGS.now),
+        "daily_stats_kept": lambda spark, sf_dir: indicators(spark, sf_dir).daily_stats(SETTINGS.now),
+        "report_volume_kept": _totalled(totals.volume),
+        "response_summary_kept": _totalled(totals.response_summary),
+        "report_productivity_kept": _totalled(totals.productivity),
+        "report_domain_kept": _totalled(totals.topic_breakdown),
         "status_counts": _raw(lambda ws: reports.status_counts(_log(ws))),
         "status_remap": _raw(_status_remap),
         "column_audit": _view(_column_audit),

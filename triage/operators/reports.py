@@ -35,6 +35,10 @@ def daily_stats(live: DataFrame, now: Column, goal: int = v.DAILY_GOAL) -> DataF
         F.count_if(resolved & (answered_on == today)).alias("answered_today"),
         F.round(F.count_if(resolved & recent) / F.lit(30.0), 1).alias("daily_avg"),
     )
+    return progress(counts, goal)
+
+
+def progress(counts: DataFrame, goal: int) -> DataFrame:
     reached = F.bround(F.col("answered_today") / F.lit(float(goal)) * 100, 0).cast("bigint") if goal > 0 else F.lit(0)
     return counts.withColumns({
         "goal": F.lit(goal).cast("bigint"),
@@ -70,7 +74,10 @@ def response_summary(minutes: DataFrame) -> DataFrame:
     Tickets are first counted per minute, in parallel; the median then works on distinct
     minutes, a number set by the calendar and not by the ticket count.
     """
-    histogram = minutes.groupBy("minutes_to_response").agg(F.count("*").alias("n"))
+    return response_figures(minutes.groupBy("minutes_to_response").agg(F.count("*").alias("n")))
+
+
+def response_figures(histogram: DataFrame) -> DataFrame:
     spent = F.col("minutes_to_response")
     within = F.sum(F.when(spent < v.RESPONSE_TARGET_MINUTES, F.col("n")).otherwise(0))
     return histogram.agg(

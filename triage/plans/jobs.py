@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from triage.operators import edits, feedback, scoring, staging, tickets
+from triage.operators import edits, feedback, scoring, staging, tickets, totals
 from triage.operators.reports import status_remap
 from triage.plans.workspace import Workspace
 from triage.schemas import TABLES
@@ -23,11 +23,18 @@ def rebuild(ws: Workspace, spark: SparkSession, root: str) -> None:
 
 def refresh_tickets(ws: Workspace, spark: SparkSession, root: str, *, content: DataFrame,
                     engaged: DataFrame, people: DataFrame) -> DataFrame:
-    """Only what an edit of an assignee changes: assignments and tickets."""
+    """Only what an edit of an assignee changes: assignments, tickets and their totals."""
     assigned = _replaced(spark, f"{root}/member_assignments", tickets.member_assignments(
         content, ws.metadata, ws.inputs.member_assignment_overrides))
     rows = tickets.tickets(content, people, engaged, ws.metadata, ws.labels, assigned, ws.few_people)
-    return _replaced(spark, f"{root}/tickets", rows, by_day=True)
+    stored = _replaced(spark, f"{root}/tickets", rows, by_day=True)
+    report_totals_table(spark, root).replace(totals.report_totals(stored))
+    return stored
+
+
+def report_totals_table(spark: SparkSession, root: str) -> VersionedTable:
+    """Daily totals of the stored tickets, made with them; reports of any range read nothing else."""
+    return VersionedTable(spark, f"{root}/report_totals", totals.REPORT_TOTALS)
 
 
 def _replaced(spark: SparkSession, path: str, rows: DataFrame, by_day: bool = False) -> DataFrame:

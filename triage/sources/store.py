@@ -162,6 +162,10 @@ class VersionedTable:
         rows = self.spark.createDataFrame(entries, _MANIFEST)
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
 
+    def commits(self) -> DataFrame:
+        """Keys of the changes made so far, one column."""
+        return self._manifest().filter("commit_key is not null").select("commit_key").distinct()
+
     def _committed(self, commit_key: str | None) -> bool:
         if commit_key is None:
             return False
