@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
+from triage import vocabulary
 from triage.functions import clock
+from triage.functions.text import prefixed
 from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, totals, training
 from triage.operators.queues import QueueFilter
 from triage.plans.indicators import LiveIndicators
 from triage.plans.jobs import edits_table, ingest, rebuild, report_totals_table, save_edits
+from triage.plans.mirror import SourceMirror
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
 from triage.settings import Settings, shared_dir, tune
@@ -303,6 +306,44 @@ def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def _last_snapshot(posts: DataFrame) -> DataFrame:
+    """The posts as they may have been: some not yet there, some with another text, status, owner or time,
+    some that are gone now."""
+    key = F.col("post_id")
+    there = posts.filter(key % 11 != 3).withColumns({
+        "description": F.when(key % 7 == 1, F.concat("description", F.lit(" (before)"))).otherwise(F.col("description")),
+        "post_status": F.when(key % 13 == 2, F.lit("draft")).otherwise(F.col("post_status")),
+        "space_id": F.when(key % 17 == 4, F.lit(None)).otherwise(F.col("space_id")),
+        "created_at": F.when(key % 19 == 5, F.expr("created_at - INTERVAL 3 DAYS")).otherwise(F.col("created_at"))})
+    gone = posts.filter(key % 5 == 0).withColumns({"post_id": -key - 1, "post_status": F.lit("active")})
+    return there.unionByName(gone)
+
+
+def _mirror(spark: SparkSession, sf_dir: str) -> tuple[SourceMirror, Callable[[DataFrame], int], VersionedTable]:
+    """A mirror that took over the last snapshot, how it takes the next one, and its content."""
+    ws, root = workspace(spark, sf_dir), scratch(spark, "mirror")
+    made = SourceMirror(spark, root, "post_id")
+    content = VersionedTable(spark, f"{root}/posts", _content_schema(ws.posts), by_day=True)
+
+    def take(snapshot: DataFrame) -> int:
+        return made.sync(snapshot, lambda rows: staging.clean_posts(rows, ws.excluded, TENANT), content,
+                         lambda key: prefixed(vocabulary.POST, key))
+
+    take(_last_snapshot(ws.inputs.core_posts))
+    return made, take, content
+
+
+def _snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _, _ = _mirror(spark, sf_dir)
+    return made.changes(workspace(spark, sf_dir).inputs.core_posts).select("key", "change")
+
+
+def _snapshot_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, take, content = _mirror(spark, sf_dir)
+    take(workspace(spark, sf_dir).inputs.core_posts)
+    return content.read()
+
+
 def _newest_come_first(rows: DataFrame, at: str) -> list[DataFrame]:
     """Three deliveries: the latest days, the days before them, then the earliest and undated rows."""
     day = F.to_date(at)
@@ -355,6 +396,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coach_roster": _raw(lambda ws: queues.coach_roster(ws.inputs.coaches, ws.inputs.core_members, TENANT)),
         "incremental_posts": _raw(_incremental_posts),
         "incremental_upsert": _incremental_upsert,
+        "snapshot_changes": _snapshot_changes,
+        "snapshot_content": _snapshot_content,
         # Scores, engagement, tickets
         "team_engagement": _raw(lambda ws: ws.engagement),
         "scored_content": _raw(lambda ws: scoring.scored_content(ws.candidates, ws.scores)),

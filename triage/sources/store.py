@@ -57,6 +57,10 @@ class VersionedTable:
         asked = keys.select(self.key)
         return self._rows(self._parts_of(asked)).drop("part").join(broadcast_if_small(asked), self.key, "left_semi")
 
+    def read_parts(self, parts: Collection[str]) -> DataFrame:
+        """Rows of some days (``undated`` for rows without a time) or buckets; only their folders are opened."""
+        return self._rows(parts).drop("part")
+
     def _manifest(self) -> DataFrame:
         try:
             return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
@@ -116,6 +120,20 @@ class VersionedTable:
         self._publish(edits.delete(self._rows(touched).drop("part"), doomed, key), touched, commit_key)
         return True
 
+    def exchange(self, gone: DataFrame, rows: DataFrame, key: str, parts: Collection[str],
+                 commit_key: str | None = None) -> bool:
+        """Take the keys of ``gone``, which lie in ``parts``, out of the table and put ``rows`` in."""
+        if self._committed(commit_key):
+            return False
+        rows = rows.persist()
+        try:
+            touched = set(parts) | self._parts_of(rows)
+            kept = edits.delete(self._rows(touched).drop("part"), gone, key)
+            self._publish(kept.unionByName(rows.select(*kept.columns)), touched, commit_key)
+        finally:
+            rows.unpersist()
+        return True
+
     # -- parts ---------------------------------------------------------------------------------
 
     def _touched(self, changes: DataFrame, key: str, key_moves: bool) -> set[str]:
