@@ -16,6 +16,10 @@ TENANT = "tenant_a"
 AS_OF = "2024-01-31 00:00:00"
 STORED_UNTIL = "2024-01-20 00:00:00"
 MONTH = 2592000
+# Conversations opened one after the other.
+OPENED = 8
+# Searched besides parts of names: all, wildcards, too short to be rare, across both names, unknown.
+SEARCH_TERMS = ("", "%", "7", "#0", "0_0%9@ex", "E #0", "nobody here", "@EXAMPLE.com")
 
 # The given prose is invented, so a few words that do occur in it stand for some topics.
 TOPIC_WORDS = {

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harness.fixture import AS_OF, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
+from harness.fixture import AS_OF, OPENED, SEARCH_TERMS, STORED_UNTIL, TENANT, TOPIC_WORDS, spark_tables
 from triage import vocabulary
 from triage.functions import clock
 from triage.functions.text import prefixed
 from triage.operators import edits, feedback, joins, queues, reports, scoring, staging, tickets, totals, training
 from triage.operators.queues import QueueFilter
 from triage.plans.indicators import LiveIndicators
-from triage.plans.jobs import edits_table, ingest, rebuild, report_totals_table, save_edits
+from triage.plans.jobs import edits_table, ingest, rebuild, report_totals_table, save_edits, store_threads
 from triage.plans.mirror import SourceMirror
+from triage.plans.search import MemberIndex
 from triage.plans.workspace import Inputs, Rule, Workspace
 from triage.schemas import CONTENT_COLUMNS, TABLES
 from triage.settings import Settings, shared_dir, tune
@@ -32,6 +33,7 @@ from triage.streaming.streams import append_stream, read_files, upsert_stream
 SETTINGS = Settings(tenant=TENANT, as_of=AS_OF)
 # Of a table of edits; some hundred thousand rows each at the size they are meant for.
 EDIT_BUCKETS = 16
+THREAD_FILES = 8
 
 
 def rule() -> Rule:
@@ -176,6 +178,25 @@ def _thread_timeline(ws: Workspace) -> DataFrame:
     return queues.thread_timeline(i.core_posts, i.core_comments, i.core_members, TENANT, i.core_articles)
 
 
+def _stored_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = workspace(spark, sf_dir)
+    i = ws.inputs
+    items = queues.thread_items(i.core_posts, i.core_comments, TENANT, i.core_articles)
+    return store_threads(items, spark, scratch(spark, "threads"), THREAD_FILES).read()
+
+
+def _thread_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queues.stored_threads(_stored_threads(spark, sf_dir), workspace(spark, sf_dir).inputs.core_members, TENANT)
+
+
+def _thread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations of the latest edited posts, as a team member opens them."""
+    ws = workspace(spark, sf_dir)
+    posts = _log(ws).filter(F.col("content_id").startswith("post_")).groupBy("content_id").agg(F.max("updated_at").alias("at"))
+    opened = [r.content_id for r in posts.orderBy(F.desc("at"), "content_id").limit(OPENED).collect()]
+    return queues.stored_threads(_stored_threads(spark, sf_dir), ws.inputs.core_members, TENANT, opened)
+
+
 def _thread_backfill(ws: Workspace) -> DataFrame:
     early = F.col("created_at") < F.lit(STORED_UNTIL).cast("timestamp_ntz")
     history = ws.candidates.select(
@@ -344,6 +365,18 @@ def _snapshot_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.read()
 
 
+def _member_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms out of the tables, and some with wildcards, too short, or unknown."""
+    ws = workspace(spark, sf_dir)
+    index = MemberIndex(spark, scratch(spark, "member-index"), EDIT_BUCKETS)
+    index.build(ws.inputs.core_members, TENANT)
+    prompts, members = ws.inputs.prompt_config, ws.inputs.core_members
+    terms = prompts.select(F.expr("right(prompt_text, 3)").alias("term")).unionByName(
+        members.select(F.substring("first_name", 2, 5).alias("term"))).unionByName(
+        spark.createDataFrame([(t,) for t in SEARCH_TERMS], "term string")).distinct()
+    return index.search(terms, joins.IdSet.of(ws.inputs.coaches.select("member_id")))
+
+
 def _newest_come_first(rows: DataFrame, at: str) -> list[DataFrame]:
     """Three deliveries: the latest days, the days before them, then the earliest and undated rows."""
     day = F.to_date(at)
@@ -436,8 +469,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coach_names": _raw(lambda ws: queues.coach_names(ws.inputs.coaches)),
         "member_search": _raw(lambda ws: queues.member_search(
             ws.inputs.core_members, joins.IdSet.of(ws.inputs.coaches.select("member_id")), TENANT, "Build")),
+        "member_search_batch": _member_search_batch,
         # Threads
         "thread_timeline": _raw(_thread_timeline),
+        "thread_layout": _thread_layout,
+        "thread_pages": _thread_pages,
         "thread_backfill": _raw(_thread_backfill),
         "thread_lookup": _raw(_thread_lookup),
         "thread_audit": _raw(lambda ws: staging.thread_audit(ws.inputs.core_comments, TENANT)),

@@ -172,6 +172,29 @@ def test_texts_of_threads_do_not_move_by_author(spark, ws):
     assert values(many) == values(timeline)
 
 
+def test_one_thread_is_read_where_it_lies(spark, frame, tmp_path):
+    import pyarrow.parquet as pq
+
+    made = at("2024-01-01")
+    rows = [(f"post_{t:03d}", f"c_{t}_{k}", "comment", k, None, 1, f"<p>text {k}</p>", None, made) for t in range(40) for k in range(400 if t == 7 else 5)]
+    items = frame("thread_id string, content_id string, content_type string, depth bigint, reply_to_id bigint, author_id bigint, _text string, "
+                  "permalink string, created_at timestamp_ntz", *rows).repartition(7)
+    stored = jobs.store_threads(items, spark, str(tmp_path), 8).read()
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in stored.inputFiles()]
+    spans = sorted((s.min, s.max) for f in files for g in range(f.num_row_groups)
+                   for s in [f.metadata.row_group(g).column(f.schema.names.index("thread_id")).statistics])
+    assert len(spans) >= 6 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # ranges touch, they do not overlap
+    assert sum(a <= "post_007" <= b for a, b in spans) >= 3  # the hot thread takes several files
+    members = frame("client_id string, member_id bigint, first_name string, last_name string, network_role string", ("t", 1, "A", "B", "host"))
+    page = registry.queues.stored_threads(stored, members, "t", ["post_007"])
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "FileScan" in line and "thread_id#" in line]
+    assert len(scan) == 1 and "PushedFilters: [" in scan[0] and "thread_id" in scan[0].split("PushedFilters")[1]
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    got = page.orderBy(*registry.queues.thread_order()).collect()
+    assert [r.body for r in got] == [f"text {k}" for k in range(400)] and got[0].author_name == "A B" and got[0].author_type == "team"
+
+
 @pytest.fixture
 def whole_plans(spark):
     """Plans that show every column and filter."""

@@ -259,16 +259,12 @@ def member_search(core_members: DataFrame, coaches: IdSet, tenant: str, term: st
     )
 
 
-def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_members: DataFrame,
-                    tenant: str, core_articles: DataFrame | None = None,
-                    threads: IdSet | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS // 10) -> DataFrame:
-    """All conversations at once: root (depth 0), then its active comments by time and depth.
+def thread_items(core_posts: DataFrame, core_comments: DataFrame, tenant: str,
+                 core_articles: DataFrame | None = None) -> DataFrame:
+    """Everything that conversations show, but for names: roots (depth 0) and their active comments.
 
-    Roots keep whatever status they have; a comment counts for the post its target id names.
-    The final order is by the whole key, so a range exchange may cut one long thread in many
-    places; no thread has to fit one task. Names are broadcast if counted few (``max_rows``), else they
-    are joined to the ids of items and come to the texts by item, so that no author's texts gather in
-    one place. ``threads`` narrows the output to given thread ids.
+    Roots keep whatever status they have; a comment counts for the post its target id names. Texts are
+    as they are stored, in ``_text``.
     """
 
     def item(rows: DataFrame, kind: str, key: str, thread: Column, author: str, text: str,
@@ -296,31 +292,69 @@ def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_member
         items = items.unionByName(
             item(of_tenant(core_articles, tenant), v.ARTICLE, "article_id",
                  prefixed(v.ARTICLE, F.col("article_id")), "creator_id", "description", F.lit(0), none))
-    if threads is not None:
-        items = items.join(threads.side, "thread_id", "left_semi")
+    return items
 
+
+def thread_order() -> list[Column]:
+    return [F.col("thread_id").asc(), F.col("created_at").asc_nulls_first(), F.col("depth").asc_nulls_first(), F.col("content_id").asc()]
+
+
+def shown_text() -> Column:
+    return strip_html(F.coalesce("_text", F.lit("")))
+
+
+def _named(items: DataFrame, core_members: DataFrame, tenant: str, max_rows: int) -> DataFrame:
+    """Items with ``_name`` and ``_staff`` of their authors; names are broadcast if counted few."""
     people = of_tenant(core_members, tenant).select(
         F.col("member_id").alias("author_id"),
         trim_all(full_name(F.col("first_name"), F.col("last_name"))).alias("_name"),
         F.col("network_role").isin(*v.STAFF_ROLES).alias("_staff"),
     )
     if is_small(people, max_rows):
-        named = items.join(F.broadcast(people), "author_id", "left")
-    else:
-        authors = items.select("content_id", "author_id").filter(F.col("author_id").isNotNull()).distinct()
-        named = items.join(authors.join(people, "author_id"), ["content_id", "author_id"], "left")
-    ordered = named.orderBy(
-        "thread_id", F.col("created_at").asc_nulls_first(), F.col("depth").asc_nulls_first(), "content_id"
-    )
-    # Texts are cleaned above the sort: its sampling pass reads the rows once more.
-    return ordered.select(
+        return items.join(F.broadcast(people), "author_id", "left")
+    authors = items.select("content_id", "author_id").filter(F.col("author_id").isNotNull()).distinct()
+    return items.join(authors.join(people, "author_id"), ["content_id", "author_id"], "left")
+
+
+def _timeline_columns(rows: DataFrame, text: Column) -> DataFrame:
+    return rows.select(
         "thread_id", "content_id", "content_type", "depth", "reply_to_id", "author_id",
         F.coalesce("_name", F.lit("")).alias("author_name"),
         F.when(F.col("_staff"), "team").otherwise("member").alias("author_type"),
-        strip_html(F.coalesce("_text", F.lit(""))).alias("body"), "permalink", "created_at",
+        text.alias("body"), "permalink", "created_at",
     )
 
 
+def thread_timeline(core_posts: DataFrame, core_comments: DataFrame, core_members: DataFrame,
+                    tenant: str, core_articles: DataFrame | None = None,
+                    threads: IdSet | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS // 10) -> DataFrame:
+    """All conversations at once: root (depth 0), then its active comments by time and depth.
+
+    The final order is by the whole key, so a range exchange may cut one long thread in many
+    places; no thread has to fit one task. Names are broadcast if counted few (``max_rows``), else they
+    are joined to the ids of items and come to the texts by item, so that no author's texts gather in
+    one place. ``threads`` narrows the output to given thread ids.
+    """
+    items = thread_items(core_posts, core_comments, tenant, core_articles)
+    if threads is not None:
+        items = items.join(threads.side, "thread_id", "left_semi")
+    ordered = _named(items, core_members, tenant, max_rows).orderBy(*thread_order())
+    # Texts are cleaned above the sort: its sampling pass reads the rows once more.
+    return _timeline_columns(ordered, shown_text())
+
+
+def stored_threads(stored: DataFrame, core_members: DataFrame, tenant: str, threads: list[str] | None = None,
+                   max_rows: int = DEFAULT_BROADCAST_ROWS // 10) -> DataFrame:
+    """Conversations out of the table that ``jobs.store_threads`` lays out by thread and time.
+
+    The condition on ``threads`` reaches the scan, which skips files and row groups of other threads by their
+    statistics; texts stay in the tasks that read them, in the order they are stored in. A reader of several
+    tasks' rows sorts by ``thread_order``.
+    """
+    rows = stored if threads is None else stored.filter(F.col("thread_id").isin(threads))
+    return _timeline_columns(_named(rows, core_members, tenant, max_rows), F.col("body"))
+
+
 def thread_ids_of(references: DataFrame, core_comments: DataFrame, tenant: str) -> DataFrame:
     """Thread ids for references that may still be comment ids; unknown comments give no row."""
 

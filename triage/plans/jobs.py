@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from triage.operators import edits, feedback, scoring, staging, tickets, totals
+from triage.operators import edits, feedback, queues, scoring, staging, tickets, totals
 from triage.operators.reports import status_remap
 from triage.plans.workspace import Workspace
 from triage.schemas import TABLES
@@ -37,6 +37,17 @@ def report_totals_table(spark: SparkSession, root: str) -> VersionedTable:
     return VersionedTable(spark, f"{root}/report_totals", totals.REPORT_TOTALS)
 
 
+def store_threads(items: DataFrame, spark: SparkSession, root: str, files: int) -> VersionedTable:
+    """Conversations laid out for reading one at a time: ``files`` ranges of the whole order of threads, each
+    sorted. Ranges follow the rows, so a long thread takes several files and short ones share one."""
+    # Texts are cleaned above the exchange, which samples the rows first.
+    laid = items.repartitionByRange(files, *queues.thread_order()).sortWithinPartitions(*queues.thread_order())
+    rows = laid.withColumn("body", queues.shown_text()).drop("_text")
+    table = VersionedTable(spark, f"{root}/threads", T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+    table.replace(rows)
+    return table
+
+
 def _replaced(spark: SparkSession, path: str, rows: DataFrame, by_day: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     table = VersionedTable(spark, path, schema, by_day=by_day)
