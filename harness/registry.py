@@ -158,6 +158,19 @@ def _score_increment(ws: Workspace) -> DataFrame:
     return ws.incremental_scores(stored)
 
 
+def _score_batches(ws: Workspace) -> DataFrame:
+    """The rule once more, as a function of batches in the place of a hosted model."""
+    scored = scoring.score_batches(ws.candidates, lambda rows: rows["body"].str.len() % 4 != 0, F.lit(AS_OF).cast("timestamp_ntz"))
+    return scored.drop("classified_at")
+
+
+def _scorer_ranking(ws: Workspace) -> DataFrame:
+    """Scores of an invented model: a probability with many ties."""
+    likely = ws.content.select("content_id", (F.pmod(F.length("body"), F.lit(23)) / 22).alias("probability"),
+                               F.expr("created_at + INTERVAL 10 MINUTES").alias("classified_at"))
+    return training.stored_ranking(ws.inputs.prompt_config, likely, ws.feedback)
+
+
 def _pairs(ws: Workspace) -> DataFrame:
     return ws.posts.select("thread_id", "member_id").distinct()
 
@@ -435,6 +448,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "team_engagement": _raw(lambda ws: ws.engagement),
         "scored_content": _raw(lambda ws: scoring.scored_content(ws.candidates, ws.scores)),
         "score_increment": _raw(_score_increment),
+        "score_batches": _raw(_score_batches),
         "score_inputs": _raw(lambda ws: scoring.score_inputs(ws.candidates, ws.inputs.prompt_config)),
         "latest_metadata": _raw(lambda ws: ws.metadata),
         "member_assignments": _raw(lambda ws: ws.assignments),
@@ -511,6 +525,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prompt_proposals": lambda spark, sf_dir: feedback.parse_proposals(_proposals(spark, sf_dir)),
         "prompt_rollforward": _rollforward,
         "scorer_quality": _view(lambda ws: training.stored_quality(ws.inputs.prompt_config, ws.scores, ws.feedback)),
+        "scorer_ranking": _view(_scorer_ranking),
         # Changes to stored tables
         "upsert_metadata": _raw(_upsert_metadata),
         "upsert_assignee_partial": _raw(_upsert_assignee),

@@ -180,3 +180,71 @@ def test_scorer_needs_both_classes(frame):
         training.train(examples)
     with pytest.raises(ValueError, match="no examples"):
         training.train(examples.limit(0))
+
+
+def pair_counting(rows):
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+
+def test_ranking_quality_is_pair_counting(frame):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(v, rnd.choice([0.0, 1.0, rnd.random(), .5]), float(rnd.random() < .4)) for v in ("a", "b") for _ in range(300)]
+    rows += [("one kind", .3, 1.0), ("none", None, 1.0), ("none", .2, None)]
+    got = {r.v: r for r in training.ranking_quality(frame("v string, s double, label double", *rows), "s", "v").collect()}
+    for v in ("a", "b"):
+        assert got[v].auc == pytest.approx(pair_counting([(s, y) for w, s, y in rows if w == v]), abs=1e-12)
+    assert got["one kind"].auc is None and (got["one kind"].positives, got["one kind"].negatives) == (1, 0) and "none" not in got
+
+
+def test_folds_and_calibration(frame):
+    import random
+
+    rnd = random.Random(4)
+    words = ["help", "please", "how", "thanks", "great", "news"]
+    rows = []
+    for k in range(240):
+        body = " ".join(rnd.choices(words, [5, 3, 4, 1, 1, 1] if k % 2 else [1, 1, 1, 5, 4, 3], k=6))
+        rows.append((f"i{k}", body, float(k % 2 if rnd.random() < .85 else 1 - k % 2)))
+    examples = frame("content_id string, body string, label double", *rows)
+    predicted = training.cross_predicted(examples).cache()
+    assert predicted.count() == len(rows) and predicted.select("content_id").distinct().count() == len(rows)
+    quality = training.ranking_quality(predicted, "probability").first()
+    assert quality.auc > 0.75 and (quality.positives, quality.negatives) == (sum(r[2] for r in rows), sum(1 - r[2] for r in rows))
+    sure = training.calibration(predicted).transform(predicted)
+    error = lambda c: sure.agg(F.avg((F.col(c) - F.col("label")) ** 2)).first()[0]
+    assert error("calibrated") <= error("probability")
+    ordered = [r.calibrated for r in sure.orderBy("probability").collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_learnt_topics_beat_the_dictionary(frame):
+    import random
+
+    from triage import vocabulary
+    from triage.operators import scoring
+
+    rnd = random.Random(5)
+    topics = [t for t in vocabulary.TOPICS if t in vocabulary.TOPIC_WORDS][:3]
+    own = {t: [f"{'abc'[i]}word{k}" for k in range(12)] for i, t in enumerate(topics)}
+
+    def text(topic):
+        listed = [rnd.choice(vocabulary.TOPIC_WORDS[topic])] if rnd.random() < .3 else []
+        return " ".join([*rnd.choices(own[topic], k=8), *rnd.choices(["and", "the", "so"], k=8), *listed])
+
+    rows = [(f"i{k}", t, text(t)) for k in range(240) for t in [rnd.choice(topics)]]
+    labelled = frame("content_id string, domain string, body string", *rows, ("none", None, "x"), ("empty", topics[0], None))
+    test = training.held_out(F.col("content_id"))
+    model = training.train_topics(labelled.filter(~test))
+    pending = labelled.filter(test).filter("content_id <> 'none'")
+    truth = {r[0]: r[1] for r in rows}
+    right = {}
+    for name, topic in (("model", model), ("dictionary", None)):
+        found = scoring.label_topics(pending, now(), topic).collect()
+        right[name] = sum(truth.get(r.content_id) == r.domain for r in found) / len(found)
+    assert right["model"] > 0.95 > 0.6 > right["dictionary"]
+    unsure = frame("content_id string, body string", ("a", "unheard of"), ("b", None), ("c", vocabulary.TOPIC_WORDS[topics[1]][0]))
+    got = training.predict_topics(model, unsure, scoring.topic_by_words(F.col("body")), least=1.1)
+    assert values(got.select("content_id", "domain")) == values(scoring.label_topics(unsure, now()).select("content_id", "domain"))

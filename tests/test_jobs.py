@@ -125,7 +125,7 @@ def test_repeated_events_are_appended_once(spark, frame, tmp_path):
     assert sorted(r.log_id for r in read_log(spark, out, rows.schema).collect()) == ["a", "b"]
 
 
-LAZY = [n for n in registry.queries() if not n.startswith("stream") and n not in ("incremental_upsert", "append_events")]
+LAZY = [n for n in registry.queries() if not n.startswith("stream") and n not in ("incremental_upsert", "append_events", "score_batches")]
 
 
 @pytest.mark.parametrize("name", LAZY)

@@ -111,7 +111,16 @@ def topic_by_words(body: Column, dictionary: Mapping[str, Sequence[str]] = v.TOP
     return F.transform(F.array(found), pick)[0]
 
 
-def label_topics(pending: DataFrame, labeled_at: Column, topic: Column | None = None) -> DataFrame:
+# A learnt topic counts from this probability on.
+SURE = 0.6
+
+
+def label_topics(pending: DataFrame, labeled_at: Column, topic: Column | PipelineModel | None = None) -> DataFrame:
+    """Labels by an expression, by a model of ``training.train_topics`` (the dictionary where it is not SURE),
+    else by the dictionary alone."""
+    if isinstance(topic, PipelineModel):
+        found = training.predict_topics(topic, pending, topic_by_words(F.col("body")), SURE)
+        return found.select("content_id", "domain", labeled_at.alias("labeled_at"))
     return pending.select(
         "content_id",
         (topic_by_words(F.col("body")) if topic is None else topic).alias("domain"),

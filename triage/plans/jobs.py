@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from triage.operators import edits, feedback, queues, scoring, staging, tickets, totals
@@ -71,9 +72,9 @@ def score_new(ws: Workspace, table: VersionedTable, commit_key: str | None = Non
 
 
 def label_new(ws: Workspace, table: VersionedTable, settings: Settings,
-              commit_key: str | None = None) -> bool:
+              commit_key: str | None = None, topic: Column | PipelineModel | None = None) -> bool:
     pending = scoring.unlabelled_questions(ws.content, table.read())
-    return table.upsert(scoring.label_topics(pending, settings.now), "content_id", commit_key=commit_key)
+    return table.upsert(scoring.label_topics(pending, settings.now, topic), "content_id", commit_key=commit_key)
 
 
 def roll_prompt_forward(ws: Workspace, responses: DataFrame, table: VersionedTable,

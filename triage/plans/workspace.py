@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.operators import engagement, feedback, scoring, staging, tickets
+from triage.operators import engagement, feedback, scoring, staging, tickets, training
 from triage.operators.joins import IdSet
 from triage.settings import Settings
 from triage.sources.reader import scan
@@ -169,11 +170,15 @@ class Workspace:
     def feedback(self) -> DataFrame:
         return feedback.classification_feedback(self.metadata, self.tickets, self._bound)
 
-    def new_labels(self, topic: Column | None = None) -> DataFrame:
+    def new_labels(self, topic: Column | PipelineModel | None = None) -> DataFrame:
         """Labels for the questions that have none; by the built-in dictionary unless told otherwise."""
         pending = scoring.unlabelled_questions(self.content, self.labels)
         return scoring.label_topics(pending, self.settings.now, topic)
 
+    def topic_model(self) -> PipelineModel:
+        """Topics as they are labelled so far."""
+        return training.train_topics(self.content.select("content_id", "body").join(self.labels.select("content_id", "domain"), "content_id"))
+
     def incremental_scores(self, stored: DataFrame, scorer: scoring.Scorer | None = None) -> DataFrame:
         """Scores for the items ``stored`` lacks: by a column expression, a function of batches or a
         fitted model, else by the workspace's rule."""
