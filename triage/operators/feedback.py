@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,32 +65,37 @@ def top_feedback(feedback: DataFrame, today: Column, kind: str, rows: int) -> Da
 
 
 def feedback_digest(feedback: DataFrame, today: Column) -> DataFrame:
-    """One row: both sections as text, the number of recent rows, and whether it passes the gate."""
-
-    def section(kind: str, rows: int, tag: str) -> Column:
-        note = F.when(~is_blank(F.col("feedback_reason")),
-                      F.concat(F.lit(v.DIGEST_NOTE), "feedback_reason")).otherwise("")
-        line = F.concat(F.lit(f"  [{tag}] {v.DIGEST_TYPE}"), "content_type", F.lit(v.DIGEST_TEXT), "body_preview", note)
-        lines = top_feedback(feedback, today, kind, rows).select("flagged_at", "content_id", line.alias("line"))
-        # At most ``rows`` lines reach this aggregate.
-        ordered = F.array_sort(
-            F.collect_list(F.struct("flagged_at", "content_id", "line")),
-            lambda a, b: F.when(a["flagged_at"] > b["flagged_at"], -1).when(a["flagged_at"] < b["flagged_at"], 1)
-            .when(a["content_id"] > b["content_id"], -1).otherwise(1),
-        )
-        joined = F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")
-        text = F.when(F.count("line") == 0, v.DIGEST_EMPTY).otherwise(joined)
-        return lines.agg(text).scalar()
-
-    counted = recent_feedback(feedback, today).agg(F.count("*").alias("feedback_rows"))
-    examples = F.concat(
-        F.lit(v.DIGEST_REJECT_HEADER), section("not_a_question", v.DIGEST_REJECTS, "FP"),
-        F.lit(v.DIGEST_CONFIRMED_HEADER), section("confirmed_question", v.DIGEST_CONFIRMED, "CQ"),
-    )
-    return counted.select(
-        examples.alias("examples"), "feedback_rows",
-        (F.col("feedback_rows") >= v.FEEDBACK_GATE).alias("passes_gate"),
-    )
+    """One row: both sections as text, the number of recent rows, and whether it passes the gate.
+
+    The rows of the sections are chosen, and all rows counted, without the bodies; then one pass over these
+    fetches the few that are shown.
+    """
+    sections = {"not_a_question": (v.DIGEST_REJECTS, "FP"), "confirmed_question": (v.DIGEST_CONFIRMED, "CQ")}
+    kind = F.col("feedback_type")
+    recent = recent_feedback(feedback, today).filter(kind.isin(*sections))
+    narrow = recent.select("content_id", "feedback_type", "flagged_at")
+    place = F.row_number().over(Window.partitionBy("feedback_type").orderBy(*_newest_flag()))
+    most = reduce(lambda rest, k: F.when(kind == k, sections[k][0]).otherwise(rest), sections, F.lit(0))
+    placed = narrow.withColumn("_place", place).filter(F.col("_place") <= max(n for n, _ in sections.values()))
+    chosen = placed.filter(F.col("_place") <= most).select("content_id", "feedback_type", "_place")
+
+    tag = reduce(lambda rest, k: F.when(kind == k, sections[k][1]).otherwise(rest), sections, F.lit(""))
+    note = F.when(~is_blank(F.col("feedback_reason")), F.concat(F.lit(v.DIGEST_NOTE), "feedback_reason")).otherwise("")
+    line = F.concat(F.lit("  ["), tag, F.lit(f"] {v.DIGEST_TYPE}"), "content_type", F.lit(v.DIGEST_TEXT),
+                    preview(F.col("body"), v.DIGEST_PREVIEW), note)
+    # At most the lines of both sections: they fit a broadcast, and the aggregate that joins them.
+    lines = recent.join(F.broadcast(chosen), ["content_id", "feedback_type"]).select("feedback_type", "_place", line.alias("line"))
+
+    def section(name: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.when(kind == name, F.struct("_place", "line"))))
+        text = F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")
+        return F.when(F.count_if((kind == name) & F.col("line").isNotNull()) == 0, v.DIGEST_EMPTY).otherwise(text)
+
+    examples = F.concat(F.lit(v.DIGEST_REJECT_HEADER), section("not_a_question"), F.lit(v.DIGEST_CONFIRMED_HEADER),
+                        section("confirmed_question"))
+    rows = recent_feedback(feedback, today).agg(F.count("*")).scalar()
+    counted = lines.agg(examples.alias("examples")).withColumn("feedback_rows", rows)
+    return counted.withColumn("passes_gate", F.col("feedback_rows") >= v.FEEDBACK_GATE)
 
 
 def latest_prompt(config: DataFrame) -> DataFrame:
