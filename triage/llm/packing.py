@@ -7,6 +7,7 @@ its last bins is small beside its size. Pieces that fill a sequence need no pack
 
 from __future__ import annotations
 
+import gc
 from array import array
 from bisect import bisect_right, insort
 
@@ -34,8 +35,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
-    Texts are cut where words begin, and each is encoded once: words seen before are looked up, new plain
-    words go through the tokenizer many at a time, whatever is not a plain word goes by itself.
+    Texts are cut where words begin: words seen before are looked up, new plain words go through the
+    tokenizer's BPE model, and whatever is not a plain word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -47,16 +48,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        spaced = [n for t, n in self.tokenizer.get_vocab().items() if t.startswith(space)]
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[spaced] = True
+        letters = [chr(c) for c in (32, *range(0xC0, 0x100))]
+        self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
         self.cut, self.word = re.compile(WORD_SPACE).split, re.compile(WORD, re.DOTALL).fullmatch
         # Ids as bytes, so that those of a text are joined and not converted one by one.
         self.known: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles among them
+        try:
+            return self._coded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
         heads, tails = [], []
         for text in texts:
             whole = any(m in text for m in self.marks)  # a mark is cut out of a text before its words are
@@ -87,14 +95,12 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str], together: int = 128) -> list[bytes]:
-        """Ids of plain words with a space before each: many in one text, cut where a token has the space."""
-        texts = ["".join(" " + w for w in words[at:at + together]) for at in range(0, len(words), together)]
-        data = b"".join(self._encode(texts))
-        ids = np.frombuffer(data, "<u4")
-        first = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
-        assert len(first) == len(words)
-        return [data[a:b] for a, b in zip(first, [*first[1:], len(data)])]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words with a space before each, from the tokenizer's BPE model: what its other steps do
+        to such a word is to write its bytes as characters."""
+        space, tokenize, table = self.as_bytes[32], self.tokenizer.model.tokenize, self.as_bytes
+        shown = [space + (w if w.isascii() else w.translate(table)) for w in words]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
