@@ -92,3 +92,46 @@ def test_table_and_digest(docs, tmp_path, spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in found) for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
         assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans(text))
+
+
+HIDDEN = "password = hunter2hunter2"
+
+
+def found(text):
+    finds, closed = scan_text(text)
+    return {f.value for f in finds if f.path}, closed
+
+
+def test_every_member_of_a_stream_is_scanned():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        data = pack(b"nothing here, nothing at all") + pack(HIDDEN.encode())
+        assert HIDDEN in found(base64.b64encode(data).decode())[0], pack
+
+
+def test_odd_bytes_do_not_hide_a_layer():
+    tar = b"name" + bytes(100) + HIDDEN.encode() + bytes(60)
+    assert HIDDEN in found(base64.b64encode(gzip.compress(tar)).decode())[0]
+    assert HIDDEN in found(base64.b64encode(b"caf\xe9 " + HIDDEN.encode()).decode())[0]
+    assert HIDDEN in found("".join(f"%{b:02X}" for b in b"caf\xe9 " + HIDDEN.encode()))[0]
+
+
+def test_glued_base64_is_read():
+    inner = base64.b64encode(HIDDEN.encode()).decode()
+    for before in ("/v1/", "x", "ab", "abc", "key-", "a_b/c-d"):
+        assert HIDDEN in found(f"see {before}{inner} now")[0], before
+
+
+@pytest.mark.parametrize("depth", [1, 15, 16, 17, 400])
+def test_nested_percent_signs(depth):
+    text = "password%" + "25" * depth + "3Dhunter2hunter2 end"
+    finds, _ = scan_text(text)
+    deep = [f for f in finds if f.value == "password=hunter2hunter2"]
+    assert [(f.start, f.end) for f in deep] == [(0, len(text) - 4)]
+
+
+def test_a_long_text_of_nested_escapes_ends_soon():
+    import time
+
+    start = time.process_time()
+    finds, _ = scan_text("a%" + "25" * 500_000 + "41 " + HIDDEN)
+    assert time.process_time() - start < 60 and HIDDEN in {f.value for f in finds}

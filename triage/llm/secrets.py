@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -28,6 +29,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+# Layers of percent signs that are opened one by one; deeper ones are resolved at once.
+URL_LAYERS = 16
 # A compressed layer that would grow beyond this stays closed and is counted, so memory is bounded.
 LAYER_BYTES = 64 << 20
 
@@ -62,47 +66,56 @@ def scan_layer(text: str) -> list[tuple[str, int, int]]:
 
 
 def _inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """(content, True) if ``data`` is a compressed stream; content None if it is broken or too large."""
+    """(content, True) if ``data`` begins with a compressed stream, the content of all its members one after
+    the other; content None if the first is broken or all are too large."""
     import zstandard
 
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
-        machine, wrong = zlib.decompressobj(wbits=47), zlib.error
-    elif data[:3] == b"BZh":
-        machine, wrong = bz2.BZ2Decompressor(), (OSError, ValueError)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        machine, wrong = lzma.LZMADecompressor(), lzma.LZMAError
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+    if data[:4] == b"\x28\xb5\x2f\xfd":
         try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as stream:
                 content = stream.read(LAYER_BYTES + 1)
         except zstandard.ZstdError:
             return None, False
         return (content, True) if len(content) <= LAYER_BYTES else (None, True)
-    else:
-        return None, False
-    try:
-        content = machine.decompress(data, LAYER_BYTES + 1)
-    except wrong:
-        return None, False
-    return (content, True) if len(content) <= LAYER_BYTES else (None, True)
+    whole, packed = b"", False
+    while data:
+        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
+            machine, wrong = zlib.decompressobj(wbits=47), zlib.error
+        elif data[:3] == b"BZh":
+            machine, wrong = bz2.BZ2Decompressor(), (OSError, ValueError)
+        elif data[:6] == b"\xfd7zXZ\x00":
+            machine, wrong = lzma.LZMADecompressor(), lzma.LZMAError
+        else:
+            break
+        try:
+            content = machine.decompress(data, LAYER_BYTES + 1 - len(whole))
+        except wrong:
+            break
+        whole, packed = whole + content, True
+        if len(whole) > LAYER_BYTES:
+            return None, True
+        data = machine.unused_data if machine.eof else b""
+    return (whole, True) if packed else (None, False)
+
 
+def _open(data: bytes) -> tuple[str | None, str, int, bool]:
+    """(text, names of the compressions passed, layers left closed for their size, whether it is plain text).
 
-def _open(data: bytes) -> tuple[str | None, str, int]:
-    """(text, names of the compressions passed, layers left closed for their size)."""
+    Bytes that are no UTF-8 are read one character each, so what is text among them is still found."""
     path, seen = "", set()
     while data not in seen:  # a stream may unpack to itself
         content, packed = _inflate(data)
         if not packed:
             break
         if content is None:
-            return None, path, 1
+            return None, path, 1, False
         seen.add(data)
         data, path = content, path + "compressed/"
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None, path, 0
-    return (None if CONTROL.search(text) else text), path, 0
+        return data.decode("latin-1"), path, 0, False
+    return text, path, 0, not CONTROL.search(text)
 
 
 def _escaped(run: str) -> tuple[str | None, bytes | None]:
@@ -138,12 +151,14 @@ def _replace(layer: Layer, pattern: re.Pattern, name: str) -> tuple[list[Layer],
     for m in pattern.finditer(layer.text):
         text, data = _escaped(m[0])
         span = layer.span(*m.span())
+        if text is None and data is not None:
+            inner, path, left, _ = _open(data)
+            closed += left
+            if inner and path:
+                out.append(_whole(inner, span, layer.path + name + "/" + path))
+                continue
+            text = inner
         if text is None:
-            if data is not None:
-                inner, path, left = _open(data)
-                closed += left
-                if inner and path:
-                    out.append(_whole(inner, span, layer.path + name + "/" + path))
             continue
         keep(at, m.start())
         width = (m.end() - m.start()) // len(text) if text and m[0].isascii() else 0
@@ -173,20 +188,45 @@ def _from_base64(layer: Layer) -> tuple[list[Layer], int]:
             parts += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\r\n]+", m[0])]
         for a, b in parts:
             run = re.sub(r"[\r\n=]", "", layer.text[a:b]).replace("-", "+").replace("_", "/")
-            if len(run) % 4 == 1 or len(run) < 16:
+            if len(run) < 16:
                 continue
-            text, path, left = _open(base64.b64decode(run + "=" * (-len(run) % 4)))
-            closed += left
-            if text:
-                out.append(_whole(text, layer.span(a, b), f"{layer.path}base64/{path}"))
-                if (a, b) == whole:
+            # Behind letters that do not belong to it, a text begins at one of four places in a group.
+            for skip in range(4):
+                part = run[skip:len(run) - ((len(run) - skip) % 4 == 1)]  # one letter alone holds no byte
+                text, path, left, plain = _open(base64.b64decode(part + "=" * (-len(part) % 4)))
+                closed += left
+                if text:
+                    out.append(_whole(text, layer.span(a, b), f"{layer.path}base64/{path}"))
+                if plain or path:
                     break
+            if plain and (a, b) == whole:
+                break
     return out, closed
 
 
+def _settled(layer: Layer) -> Layer:
+    """The layer with percent escapes of ASCII resolved until none is left, in one pass: what a character
+    completes is resolved before the next one is read."""
+    chars, starts, ends = [], [], []
+    for k, c in enumerate(layer.text):
+        first, last = layer.span(k, k + 1)
+        chars.append(c)
+        starts.append(first)
+        ends.append(last)
+        while len(chars) > 2 and chars[-3] == "%" and chars[-2] in "01234567" and chars[-1] in HEX_DIGITS:
+            chars[-3:] = [chr(int(chars[-2] + chars[-1], 16))]
+            ends[-3:] = [ends[-1]]
+            del starts[-2:]
+    return Layer("".join(chars), starts, ends, layer.path + "url/")
+
+
 def unwrap(layer: Layer) -> tuple[list[Layer], int]:
     """All layers one step below, and how many were left closed for their size."""
     out, closed = _from_base64(layer)
+    if "%" in layer.text and layer.path.count("url/") >= URL_LAYERS:
+        deepest = _settled(layer)
+        if deepest.text != layer.text:
+            return [*out, deepest], closed
     if "%" in layer.text:
         more, left = _replace(layer, PERCENT, "url")
         out, closed = out + more, closed + left
@@ -200,17 +240,19 @@ def scan_text(text: str | None) -> tuple[list[Find], int]:
     """All finds of a text by start, then kind as in KINDS; and the layers left closed for their size.
 
     A work list holds the layers still to open. A layer whose text was seen at the same place is not
-    opened again, so layers that unwrap to themselves end. A find at a place where one of its kind
-    was found already is the same find.
+    opened again, so layers that unwrap to themselves end. Percent signs nested deeper than URL_LAYERS are
+    resolved at once: the innermost text is scanned, the layers between are not. A find at a place where
+    one of its kind was found already is the same find.
     """
     finds: dict[tuple[str, int, int], Find] = {}
     work, seen, closed = [Layer(text or "", None, None, "")], set(), 0
     while work:
         layer = work.pop(0)
         place = layer.span(0, len(layer.text)) if layer.text else (0, 0)
-        if (layer.text, place) in seen:
+        known = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), place)
+        if known in seen:
             continue
-        seen.add((layer.text, place))
+        seen.add(known)
         for kind, a, b in scan_layer(layer.text):
             start, end = layer.span(a, b)
             finds.setdefault((kind, start, end), Find(start, end, kind, layer.path, layer.text[a:b]))
