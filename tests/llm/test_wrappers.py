@@ -63,3 +63,32 @@ def test_one_wrapper_for_each_host(spark):
 def test_asides():
     assert is_aside("nav") and is_aside("div.ad") and is_aside("section.user-comments") and is_aside("div.cookie-banner box")
     assert not is_aside("div.content") and not is_aside("body.has-sidebar") and not is_aside("div.shadow") and not is_aside("main.menu")
+
+
+def texts_of(html):
+    return [b.text for b in blocks_of(html)]
+
+
+def test_deep_nesting_neither_fails_nor_loses_text(spark):
+    deep = "<div>" * 1500 + "<p>inside</p>" + "</div>" * 1500
+    html = "<body><article><p>first of all some words</p>" + deep + "<div>" * 300 + "<div class=comments><p>rude</p></div>" + "</div>" * 300 + "</article></body>"
+    assert texts_of(html) == ["first of all some words", "inside", "rude"]
+    rows = spark.createDataFrame([(1, "http://a/1", html), (2, "http://a/2", html)], "page_id bigint, url string, html string")
+    assert {r.text for r in main_texts(rows).collect()} == {"first of all some words\n\ninside"}
+
+
+@pytest.mark.parametrize("flood", ["<a ", "<a b=\"", "<a b='>\" ", "<p x=\">\" ", "</p ", "<!", "<!--", "<", "<div><p>", "</b></i>", "= \"<a", "<a ="])
+def test_floods_of_tags_end_soon(flood):
+    import time
+
+    start = time.process_time()
+    blocks_of(flood * (300_000 // len(flood)))
+    blocks_of("<p>" + flood * (100_000 // len(flood)) + "</p>")
+    assert time.process_time() - start < 20
+
+
+def test_quotes_count_only_behind_an_equals_sign():
+    assert texts_of("<p title=it's>one</p><p>two</p><p title='it\">'>three</p>") == ["one", "two", "three"]
+    assert texts_of("<p it's>one</p><p title = \"a>b\">two</p><p title=>three</p><p title= >four</p>") == ["one", "two", "three", "four"]
+    assert texts_of("<p>5 < 6 and 7 > 6</p><p>a<b>c</b></p>") == ["5 < 6 and 7 > 6", "ac"]
+    assert texts_of("<p>one</p><p title=\"never closed>two</p><p>three</p>") == ["one", "two", "three"]

@@ -39,7 +39,14 @@ ASIDE_NAMES = re.compile(
 MAIN_TAGS = ("article", "main")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|article-?body|main|main-?content|content|post|post-?body|entry|entry-?content|story|body-?text|article-?text)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# What opens with "<": a comment, a section, a declaration, or a tag with its attributes. Quotes count only behind
+# "="; nothing is tried twice, so a tag costs its length.
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"""
+                   r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)|(?!["'])))*+)>""", re.S)
+# The same for what such a tag has no end for: a quote that stays open is a character like others.
+LOOSE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>", re.S)
+# Open elements a block is known by. Of deeper ones only the first that sets its text apart counts.
+DEPTH = 150
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 SPACE = re.compile(r"\s+")
@@ -57,11 +64,15 @@ def blocks_of(html: str | None) -> list[Block]:
     """The text blocks of a page in order, character references decoded, white space made single.
 
     Scripts, styles and the like are passed over. Tags that are never closed end with what they are
-    in, paragraphs with the next block.
+    in, paragraphs with the next block. Work is in proportion to the page, whatever its tags: elements
+    deeper than DEPTH share a path, and quotes that never close are characters.
     """
     out, stack, parts, linked, links, at = [], [], [], 0, 0, 0
     html = html or ""
     raw = None
+    last_end = html.rfind(">")  # behind it no tag ends
+    token = TOKEN
+    depth_of: dict[str, int] = {}  # open elements by tag
 
     def text(a: int, b: int) -> None:
         nonlocal linked
@@ -76,9 +87,15 @@ def blocks_of(html: str | None) -> list[Block]:
         line = SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if line:
-            out.append(Block(tuple(stack), line, min(linked, len(line))))
+            path = tuple(stack) if len(stack) <= DEPTH else (*stack[:DEPTH], *[k for k in stack[DEPTH:] if is_aside(k)][:1])
+            out.append(Block(path, line, min(linked, len(line))))
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop().partition(".")[0]
+        depth_of[tag] -= 1
+        return tag
+
     pos = 0
     while True:
         if raw is not None:  # up to the end tag of an element that is no text
@@ -89,9 +106,17 @@ def blocks_of(html: str | None) -> list[Block]:
             else:
                 pos = at = end.end() if end else len(html)
             raw = None
-        m = TOKEN.search(html, pos)
-        if m is None:
+        start = html.find("<", pos)
+        if start < 0 or (start > last_end and not html.startswith(("<!", "<?"), start)):
             break
+        m = token.match(html, start)
+        if m is None and token is TOKEN and html[start + 1:start + 3].lstrip("/")[:1].isalpha():
+            m = LOOSE.match(html, start)
+            if m is not None:
+                token = LOOSE  # a tag whose quotes never close: from here on they are not looked at
+        if m is None:
+            pos = start + 1
+            continue
         text(at, m.start())
         pos = at = m.end()
         tag = (m[2] or "").lower()
@@ -112,19 +137,20 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in VOID or (not m[1] and m[3].endswith("/")):
             continue
         if m[1]:
-            names = [s.partition(".")[0] for s in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag):]
+            if depth_of.get(tag):
+                while pop() != tag:
+                    pass
             continue
         while stack and stack[-1].partition(".")[0] == "p":
-            stack.pop()
+            pop()
         if stack and stack[-1].partition(".")[0] in CLOSES.get(tag, ()):
-            stack.pop()
+            pop()
         names = " ".join(next(filter(None, g), "") for g in NAMED.findall(m[3]))
         names = SPACE.sub(" ", re.sub(r"\d+", "#", names)).strip().lower()
         if HIDDEN.search(m[3]):
             names = f"{names} hidden".strip()
         stack.append(f"{tag}.{names}" if names else tag)
+        depth_of[tag] = depth_of.get(tag, 0) + 1
     text(at, len(html))
     close()
     return out
