@@ -146,10 +146,10 @@ def model_rows(groups: DataFrame) -> DataFrame:
               F.struct(*part("suffix", s=one)), F.struct(*part("under", hs=one))]
     sums = groups.select(F.explode(F.array(*pieces)).alias("_p")).select("_p.*")
     sums = sums.groupBy("slot").agg(*[F.sum(p).alias(p) for p in PARTS if p != "ts"])
-    # Types of a shared context: different groups of one letter less that follow it. Every group has a count and
-    # an under; asking for the one and not for the other keeps both readers of the groups alike, so that these are
-    # counted once.
-    types = groups.filter(F.col("n0") + F.col("n1") > 0).select("suffix", "under").distinct().groupBy("under").agg(F.count("*").alias("ts"))
+    # Types of a shared context: different groups of one letter less that follow it. The condition holds
+    # for every group, as counts are never negative, and so does that under is never null: asking for the one and not
+    # for the other keeps both readers of the groups alike, so that these are counted once.
+    types = groups.filter(F.col("n0") + F.col("n1") >= 0).select("suffix", "under").distinct().groupBy("under").agg(F.count("*").alias("ts"))
     return sums.join(types, sums.slot.eqNullSafe(types.under), "left").select(
         "slot", *[F.coalesce(F.col(p), F.lit(0)).cast("float").alias(p) for p in PARTS])
 
