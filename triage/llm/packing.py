@@ -71,18 +71,21 @@ class Encoder:
             head, *tail = [text] if whole else self.cut(text)
             heads.append(head)
             tails.append(tail)
-        new = list(set().union(*tails) - self.known.keys())
+        known, suffix = self.known, self.ends
+        new = set().union(*tails) - known.keys()
+        words = [w for w in new if w.isascii() and w.isalpha() and len(w) <= KNOWN_LENGTH]
+        new.difference_update(words)
         plain = {w: (m[1], m[2]) for w in new if len(w) <= KNOWN_LENGTH and (m := self.word(w))}
-        ends = list({end for _, end in plain.values()} - self.ends.keys())
+        words += {letters for letters, _ in plain.values()} - known.keys() - set(words)
+        known.update(zip(words, self._encode_words(words)))
+        ends = list({end for _, end in plain.values()} - suffix.keys())
         other = [w for w in new if w not in plain]
         coded = iter(self._encode([*heads, *ends, *(" " + w for w in other)]))
         heads = [next(coded) for _ in heads]
-        self.ends.update((end, next(coded)) for end in ends)
-        self.known.update((w, next(coded)) for w in other)
-        known, suffix, letters = self.known, self.ends, list({letters for letters, _ in plain.values()})
-        coded_letters = dict(zip(letters, self._encode_words(letters)))
+        suffix.update((end, next(coded)) for end in ends)
+        known.update((w, next(coded)) for w in other)
         for w, (letters, end) in plain.items():
-            known[w] = coded_letters[letters] + suffix[end]
+            known[w] = known[letters] + suffix[end]
         out = [np.frombuffer(head + b"".join(map(known.__getitem__, tail)), "<u4") for head, tail in zip(heads, tails)]
         for w in other:
             if len(w) > KNOWN_LENGTH:
