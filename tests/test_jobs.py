@@ -224,9 +224,15 @@ def test_a_short_list_leaves_other_bodies_where_they_are(spark, whole_plans):
     lines = plan.split("\n")
     scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "body#" in line.split("Batched")[0])
     above = [line for line in lines[max(0, scan - 6):scan] if "Exchange" in line or "Join" in line]
+    assert above and "BroadcastHashJoin" in above[-1]
+    some = registry.queues.ticket_queue(served.tickets, registry._log(served), registry.SETTINGS.now, registry.QueueFilter(member_id=12), keyed=True, max_rows=3)
+    plan = some._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "body#" in line.split("Batched")[0])
+    above = [line for line in plan[max(0, scan - 6):scan] if "Exchange" in line or "Join" in line]
     assert above and "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1]
+    assert values(some) == values(short) and some.columns == short.columns
     long = registry.queues.ticket_queue(served.tickets, registry._log(served), registry.SETTINGS.now, registry.QueueFilter(member_id=12), keyed=True, max_rows=-1)
-    assert values(long) == values(short)
+    assert values(long) == values(short) and long.columns == short.columns
 
 
 def test_lists_read_the_newest_edits_and_compare_none(spark):

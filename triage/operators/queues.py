@@ -88,10 +88,12 @@ def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column, wanted: Queue
                  keyed: bool = False, max_rows: int = LIST_ROWS, settled: bool = False) -> DataFrame:
     """Live tickets that meet every condition, newest first.
 
-    Conditions on the stored rows reach the scan. The others run without the bodies, and the rows that
-    are left are counted: a short list (``max_rows``) sends its ids to the bodies, which then stay
-    where they are; a long one carries the bodies along, once. A row is known by its item and a hash
-    of its narrow columns, so title and body are always of one stored row.
+    Conditions on the stored rows reach the scan, and what they leave is counted. Where that is little
+    already (a fifth of ``max_rows``, one row for each item), the narrow list itself meets the bodies, which
+    stay where they are, and is put in order in one place: it is made once. Else the other conditions run
+    without the bodies, and the rows that are left are counted: a short list (``max_rows``) sends its ids
+    to the bodies; a long one carries the bodies along, once. A row is known by its item and a hash of its
+    narrow columns, so title and body are always of one stored row.
     """
     rows = stored
     for condition in wanted.stored_conditions(keyed):
@@ -99,6 +101,10 @@ def ticket_queue(stored: DataFrame, edits: DataFrame, now: Column, wanted: Queue
     narrow = [c for c in stored.columns if c != "body"]
     marked = rows.withColumn("_row", F.xxhash64(*narrow))
     kept = _meeting(live_tickets(marked.drop("body"), edits, keyed, settled), wanted, now)
+    if keyed and is_small(rows.select("content_id"), max_rows // 5):
+        listed = marked.select("content_id", "_row", "body").join(F.broadcast(kept), ["content_id", "_row"])
+        whole = listed.select(*(c for c in stored.columns if c in listed.columns), *(c for c in kept.columns if c not in stored.columns))
+        return with_list_columns(whole.drop("_row", "live_updated_at"), now).repartition(1).orderBy(*newest_first())
     ids = kept.select("content_id", "_row")
     carried = _meeting(live_tickets(rows, edits, keyed, settled), wanted, now).drop("live_updated_at")
     if not is_small(ids, max_rows):
