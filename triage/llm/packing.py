@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 from array import array
 from bisect import bisect_right, insort
+from itertools import compress
+from operator import not_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,14 +67,16 @@ class Encoder:
                 gc.enable()
 
     def _coded(self, texts: list[str]) -> list[np.ndarray]:
-        heads, tails = [], []
+        known, suffix = self.known, self.ends
+        heads, tails, found, new = [], [], [], set()
         for text in texts:
             whole = any(m in text for m in self.marks)  # a mark is cut out of a text before its words are
             head, *tail = [text] if whole else self.cut(text)
+            ids = list(map(known.get, tail))
+            new.update(compress(tail, map(not_, ids)))
             heads.append(head)
             tails.append(tail)
-        known, suffix = self.known, self.ends
-        new = set().union(*tails) - known.keys()
+            found.append(ids)
         words = [w for w in new if w.isascii() and w.isalpha() and len(w) <= KNOWN_LENGTH]
         new.difference_update(words)
         plain = {w: (m[1], m[2]) for w in new if len(w) <= KNOWN_LENGTH and (m := self.word(w))}
@@ -86,7 +90,11 @@ class Encoder:
         known.update((w, next(coded)) for w in other)
         for w, (letters, end) in plain.items():
             known[w] = known[letters] + suffix[end]
-        out = [np.frombuffer(head + b"".join(map(known.__getitem__, tail)), "<u4") for head, tail in zip(heads, tails)]
+        out = []
+        for head, tail, ids in zip(heads, tails, found):
+            for i in list(compress(range(len(ids)), map(not_, ids))):
+                ids[i] = known[tail[i]]
+            out.append(np.frombuffer(head + b"".join(ids), "<u4"))
         for w in other:
             if len(w) > KNOWN_LENGTH:
                 del self.known[w]
