@@ -104,13 +104,12 @@ def daily_stats(totals: DataFrame, rows: DataFrame, now: Column, goal: int = v.D
     """``reports.daily_stats`` from LIVE_TOTALS and the STATES they are of."""
     today, since = F.to_date(now), now - F.expr("INTERVAL 30 DAYS")
     status = live_status(F.col("engaged"), F.col("status"), F.col("stored_status"))
-    days = totals.filter(F.to_date("at") == today).agg(
-        _count(F.col("kind") == "made").alias("in_today"), _count(F.col("kind") == "answered").alias("answered_today"))
-    recent = _made(totals, rows, "resolved", status.isin(*v.RESOLVED_SET), [since]).agg(
-        _count(F.col("created_at") >= since).alias("_recent"))
-    one = F.lit(1)  # two rows of one meet
-    counts = days.withColumn("_one", one).join(recent.withColumn("_one", one), "_one")
-    return progress(counts.select("in_today", "answered_today", F.round(F.col("_recent") / F.lit(30.0), 1).alias("daily_avg")), goal)
+    days = totals.filter((F.to_date("at") == today) & F.col("kind").isin("made", "answered")).select("kind", "n")
+    recent = _made(totals, rows, "resolved", status.isin(*v.RESOLVED_SET), [since]).filter(F.col("created_at") >= since)
+    counts = days.unionByName(recent.select(F.lit("recent").alias("kind"), "n")).agg(
+        _count(F.col("kind") == "made").alias("in_today"), _count(F.col("kind") == "answered").alias("answered_today"),
+        F.round(_count(F.col("kind") == "recent") / F.lit(30.0), 1).alias("daily_avg"))
+    return progress(counts, goal)
 
 
 def report_totals(tickets: DataFrame) -> DataFrame:
