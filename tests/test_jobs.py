@@ -195,6 +195,19 @@ def test_one_thread_is_read_where_it_lies(spark, frame, tmp_path):
     assert [r.body for r in got] == [f"text {k}" for k in range(400)] and got[0].author_name == "A B" and got[0].author_type == "team"
 
 
+def test_ranges_of_threads_grow_with_their_texts(spark, frame, tmp_path):
+    made = at("2024-01-01")
+    rows = [(f"post_{t:03d}", f"post_{t:03d}", "post", 0, None, 1, "x" * 100, None, made) for t in range(200)]
+    items = frame("thread_id string, content_id string, content_type string, depth bigint, reply_to_id bigint, author_id bigint, _text string, "
+                  "permalink string, created_at timestamp_ntz", *rows).repartition(4)
+    many = jobs.store_threads(items, spark, str(tmp_path / "many"), 2, characters=1_000).read()
+    few = jobs.store_threads(items, spark, str(tmp_path / "few"), 2).read()
+    assert len(many.inputFiles()) >= 15 and len(few.inputFiles()) == 2
+    assert values(many) == values(few) and many.count() == 200
+    none = jobs.store_threads(items.limit(0), spark, str(tmp_path / "none"), 2).read()
+    assert none.count() == 0
+
+
 @pytest.fixture
 def whole_plans(spark):
     """Plans that show every column and filter."""
