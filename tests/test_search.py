@@ -61,3 +61,22 @@ def test_no_members(spark, tmp_path):
     made.build(spark.createDataFrame([], TABLES["core_members"]), "t")
     terms = spark.createDataFrame([("a",), ("",)], "term string")
     assert values(made.search(terms, IdSet.of(spark.createDataFrame([], "member_id bigint")))) == []
+
+
+def test_members_are_dealt_and_postings_are_read_once(spark, people, tmp_path, monkeypatch):
+    from triage.plans import search
+
+    tasks = []
+    replace = search.VersionedTable.replace
+
+    def counted(self, rows, commit_key=None):
+        tasks.append((self.key, rows.rdd.getNumPartitions() if self.root.endswith("/postings") else 0))
+        return replace(self, rows, commit_key)
+
+    monkeypatch.setattr(search, "MEMBERS_A_TASK", 20, raising=False)
+    monkeypatch.setattr(search.VersionedTable, "replace", counted)
+    made = MemberIndex(spark, str(tmp_path), 4)
+    made.build(people.coalesce(1), "t")
+    assert max(n for _, n in tasks) >= 3
+    found = made.search(spark.createDataFrame([("lee",)], "term string"), IdSet.of(spark.createDataFrame([], "member_id bigint")))
+    assert found.count() > 0 and not [f for f in found.inputFiles() if "/postings/" in f or "/counts/" in f]

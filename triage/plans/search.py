@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from triage.sources.store import VersionedTable
 GRAM = 3
 # Grams of a term that are looked up: its rarest ones. The rest is settled by looking at the texts.
 PROBES = 3
+# Members whose texts one task cuts: a small file holds many, and each makes some hundred postings.
+MEMBERS_A_TASK = 10_000
 POSTINGS = schema_of("gram string not null, member_id bigint not null")
 COUNTS = schema_of("gram string not null, members bigint")
 PROFILES = schema_of("member_id bigint not null, first_name string, last_name string, email_address string, network_role string, "
@@ -51,6 +55,7 @@ class MemberIndex:
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int):
+        self.spark, self.root = spark, root.rstrip("/")
         self.postings = VersionedTable(spark, f"{root}/postings", POSTINGS, buckets=buckets, key="gram")
         self.counts = VersionedTable(spark, f"{root}/counts", COUNTS, buckets=buckets, key="gram")
         self.profiles = VersionedTable(spark, f"{root}/profiles", PROFILES, buckets=buckets, key="member_id")
@@ -61,16 +66,22 @@ class MemberIndex:
         self.profiles.replace(active.select(*PROFILES.names))
         name = full_name(F.col("first_name"), F.col("last_name"))
         found = F.array_union(grams(name), grams(F.col("email_address")))
-        self.postings.replace(active.select(F.explode(found).alias("gram"), "member_id"))
+        texts = active.select("member_id", "first_name", "last_name", "email_address")
+        dealt = texts.repartition(1 + self.profiles.read().count() // MEMBERS_A_TASK, "member_id")
+        self.postings.replace(dealt.select(F.explode(found).alias("gram"), "member_id"))
         self.counts.replace(self.postings.read().groupBy("gram").agg(F.count("*").alias("members")))
 
     def search(self, terms: DataFrame, coaches: IdSet, limit: int = 20) -> DataFrame:
-        """First ``limit`` members for each ``term`` whose name or address holds it; coaches are left out."""
+        """First ``limit`` members for each ``term`` whose name or address holds it; coaches are left out.
+
+        Probes and candidates are asked for their buckets, counted and joined, so each is found once and stored.
+        """
         wanted = terms.select("term").filter("term is not null").distinct().withColumn("gram", F.explode(asked(F.col("term"))))
-        probes = self._rarest(wanted)
+        wanted = self._stored(wanted)
+        probes = self._stored(self._rarest(wanted))
         held = self.postings.read_keys(probes.select("gram").distinct()).join(probes, "gram")
         full = held.groupBy("term", "member_id", "probes").agg(F.count("*").alias("hits")).filter("hits = probes")
-        candidates = full.join(coaches.side.toDF("member_id"), "member_id", "left_anti").select("term", "member_id")
+        candidates = self._stored(full.join(coaches.side.toDF("member_id"), "member_id", "left_anti").select("term", "member_id"))
         people = self.profiles.read_keys(candidates.select("member_id").distinct())
         name = full_name(F.col("first_name"), F.col("last_name"))
         pattern = F.concat(F.lit("%"), F.replace(F.lower("term"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
@@ -79,6 +90,11 @@ class MemberIndex:
         first = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
         return first.select("term", "place", "member_id", trim_all(name).alias("full_name"), "email_address", "network_role", "join_date")
 
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/searches/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _rarest(self, wanted: DataFrame) -> DataFrame:
         """(term, gram, probes): the rarest grams of each term; a term with a gram nobody has finds nobody."""
         sizes = self.counts.read_keys(wanted.select("gram").distinct())
