@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from triage.llm.packing import Encoder, best_two_fit, pack_documents
+from triage.llm import packing
+from triage.llm.packing import Encoder, best_two_fit, encoder, pack_documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -78,3 +79,37 @@ def test_cut_texts_have_the_ids_of_whole_ones(ids_of):
     for at in range(0, len(texts), 500):
         some = texts[at:at + 500]
         assert [t.tolist() for t in encode(some)] == [ids_of(t)[:-1] for t in some]
+
+
+def test_texts_cut_in_any_script_have_the_ids_of_whole_ones(ids_of, monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 40)
+    rnd = random.Random(12)
+    parts = ["word", "Été", "слово", "語", "λ", "x1", "don't", "|", ".", "\n", "\n\n", "\n\n\n", "  ", "\t", "\r\n", "\u00a0", "\u1680", "\u180e", "\u200b",
+             "\u2003", "\u2028", "\u2060", "\u3000", "\ufeff", "\x1c", "\x85", "\u0301", "ª", "²", "<|endoftext|>", "z" * 60]
+    texts = ["".join(rnd.choices([" ", *parts], [12, *[1] * len(parts)], k=rnd.randint(0, 40))) for _ in range(4000)]
+    texts += ["\n".join(rnd.choices(["слово и", "word two.", "", " "], k=9)) for _ in range(500)]
+    encode = Encoder(BPE)
+    for at in range(0, len(texts), 100):
+        some = texts[at:at + 100]
+        assert [t.tolist() for t in encode(some)] == [ids_of(t)[:-1] for t in some]
+
+
+def test_words_met_before_are_not_encoded_again(ids_of, monkeypatch):
+    rnd, sent = random.Random(13), []
+    words = ["".join(rnd.choices("abcdefgé", k=6)) for _ in range(40)] + ["".join(rnd.choices("абвгдежз", k=6)) for _ in range(40)]
+    texts = ["so " + "".join(f"{w}{rnd.choice([' ', ', ', '. ', ' - ', chr(10), '.' + chr(10), chr(10) * 2])}" for w in rnd.choices(words, k=50)) + "so" for _ in range(100)]
+    encode = Encoder(BPE)
+    whole = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda some: sent.extend(some) or whole(some))
+    assert [t.tolist() for t in encode(texts)] == [ids_of(t)[:-1] for t in texts]
+    # Each word behind a space, one break or two, with each ending, at most; and what comes before a text's first cut.
+    assert sum(map(len, sent)) < sum(map(len, texts)) / 3
+    encode(texts)
+    sent.clear()
+    encode(texts)
+    assert sent == ["so"] * len(texts)
+
+
+def test_tasks_of_a_run_share_an_encoder():
+    assert encoder(BPE, "run") is encoder(BPE, "run")
+    assert encoder(BPE, "run") is not encoder(BPE, "another")

@@ -8,10 +8,11 @@ its last bins is small beside its size. Pieces that fill a sequence need no pack
 from __future__ import annotations
 
 import gc
+import uuid
 from array import array
 from bisect import bisect_right, insort
-from itertools import compress
-from operator import not_
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,14 +23,18 @@ from .common import cut, per_batch
 CAPACITY = 2048
 # Pieces of a group, on average: about as many rows of a few numbers are in one task at a time.
 GROUP = 16_384
-# Letters as every Unicode version has them. A byte-level BPE with spaces in front of words takes a run of
-# letters and the space before it as one word, so a text may be cut at such a space behind a visible
-# character, and between a letter and an ASCII character that is none.
+# What is white space to some Unicode version or engine, and what is near it. A byte-level BPE takes the last space
+# before a visible character into that character's word, and line breaks between visible characters one by one. So a
+# text may be cut at a single space between visible characters, and before one or two line breaks between them.
+BLANK = r"\x00-\x20\x7F-\xA0\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u3000\uFEFF"
+WORD_START = rf"(?<=[^{BLANK}])(?: (?=[^{BLANK}])|(?=\n\n?[^{BLANK}]))"
+WHOLE_WORD = rf"\n?\n?[^{BLANK}](?:.*[^{BLANK}])?"
+# Letters as every Unicode version has them; an ASCII character that is none begins something new.
 LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
-WORD_SPACE = rf" (?<=[!-~{LATIN}] )(?=[{LATIN}])"
-WORD = rf"([{LATIN}]+)((?:[\x00-@\[-`{{-\x7F].*)?)"
-# Encoded words a task keeps, and the length of the longest of them.
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 48
+PLAIN_WORD = rf"(\n?\n?)([{LATIN}]+)((?:[\x00-@\[-`{{-\x7F].*)?)"
+# Encoded words a process keeps before it sets all aside, dropping those set aside before that it has not met since;
+# and the length of the longest of them.
+KNOWN_WORDS, KNOWN_LENGTH = 600_000, 48
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
@@ -49,69 +54,108 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = [chr(c) for c in (32, *range(0xC0, 0x100))]
         self.as_bytes = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.cut, self.word = re.compile(WORD_SPACE).split, re.compile(WORD, re.DOTALL).fullmatch
-        # Ids as bytes, so that those of a text are joined and not converted one by one.
+        self.cut, self.whole = re.compile(WORD_START).split, re.compile(WHOLE_WORD, re.DOTALL).fullmatch
+        self.plain = re.compile(PLAIN_WORD, re.DOTALL).fullmatch
+        # Ids as bytes, so that those of a text are joined and not converted one by one. A word that begins with a
+        # line break is written with it, all others without the space before them.
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {"": b""}
+        line_break, = self._encode(["\n"])
+        self.breaks = {"": b"", "\n": line_break, "\n\n": line_break * 2}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         collecting = gc.isenabled()
         gc.disable()  # many small objects and no cycles among them
         try:
-            return self._coded(texts)
+            cut = [self._cut(text) for text in texts]
+            heads = self._encode([head for head, _ in cut])
+            return [np.frombuffer(head + b"".join(ids), "<u4") for head, (_, ids) in zip(heads, cut)]
         finally:
             if collecting:
                 gc.enable()
 
-    def _coded(self, texts: list[str]) -> list[np.ndarray]:
-        known, suffix = self.known, self.ends
-        heads, tails, found, new = [], [], [], set()
-        for text in texts:
-            whole = any(m in text for m in self.marks)  # a mark is cut out of a text before its words are
-            head, *tail = [text] if whole else self.cut(text)
-            ids = list(map(known.get, tail))
-            new.update(compress(tail, map(not_, ids)))
-            heads.append(head)
-            tails.append(tail)
-            found.append(ids)
-        words = [w for w in new if w.isascii() and w.isalpha() and len(w) <= KNOWN_LENGTH]
-        new.difference_update(words)
-        plain = {w: (m[1], m[2]) for w in new if len(w) <= KNOWN_LENGTH and (m := self.word(w))}
-        words += {letters for letters, _ in plain.values()} - known.keys() - set(words)
-        known.update(zip(words, self._encode_words(words)))
-        ends = list({end for _, end in plain.values()} - suffix.keys())
-        other = [w for w in new if w not in plain]
-        coded = iter(self._encode([*heads, *ends, *(" " + w for w in other)]))
-        heads = [next(coded) for _ in heads]
-        suffix.update((end, next(coded)) for end in ends)
-        known.update((w, next(coded)) for w in other)
-        for w, (letters, end) in plain.items():
-            known[w] = known[letters] + suffix[end]
-        out = []
-        for head, tail, ids in zip(heads, tails, found):
-            for i in list(compress(range(len(ids)), map(not_, ids))):
-                ids[i] = known[tail[i]]
-            out.append(np.frombuffer(head + b"".join(ids), "<u4"))
-        for w in other:
-            if len(w) > KNOWN_LENGTH:
-                del self.known[w]
+    def _cut(self, text: str) -> tuple[str, list[bytes]]:
+        """What comes before the first cut of a text, and the ids of each word after it."""
+        if any(m in text for m in self.marks):  # a mark is cut out of a text before its words are
+            return text, []
+        # Most texts have nothing but words between single spaces and breaks; that needs no pattern.
+        head, *words = text.replace("\n", " \n").replace("\n \n", "\n\n").split(" ")
+        ids = self._look_up(words) if not words or self.whole(head) else [None]
+        if None in ids:
+            head, *words = self.cut(text)
+            ids = self._look_up(words, whole=True)
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-            self.ends = {"": b""}
-        return out
+            self.known, self.aside, self.ends = {}, self.known, {"": b""}
+        return head, ids
+
+    def _look_up(self, words: list[str], whole: bool = False) -> list[bytes | None]:
+        """Ids of words; without ``whole``, None for what no word can be cut out as."""
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            missing = [i for i, found in enumerate(ids) if found is None]
+            new = {words[i] for i in missing}
+            coded = self._learn(new if whole else [w for w in new if w.isalpha() or self.whole(w)])
+            for i in missing:
+                ids[i] = coded.get(words[i])
+        return ids
+
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words not known. Known from now on are the words but long ones, or else the letters they begin with."""
+        known, aside, ends, coded, other = self.known, self.aside, self.ends, {}, []
+        for word in words:
+            ids = aside.get(word)
+            if ids is None:
+                if len(word) > KNOWN_LENGTH:
+                    other.append(word)
+                    continue
+                if word.isascii() and word.isalpha():
+                    ids = self._encode_letters("", word)
+                elif plain := self.plain(word):
+                    breaks, letters, end = plain.groups()
+                    start = breaks + letters
+                    ids = known.get(start) or aside.get(start)
+                    met = ids is not None
+                    if not met:
+                        known[start] = ids = self._encode_letters(breaks, letters)
+                    if end:
+                        if end not in ends:
+                            ends[end] = self._encode([end])[0]
+                        ids += ends[end]
+                        if not met:  # most such words never come again
+                            coded[word] = ids
+                            continue
+                else:
+                    other.append(word)
+                    continue
+            known[word] = coded[word] = ids
+        for word, ids in zip(other, self._encode([w if w[0] == "\n" else " " + w for w in other])):
+            coded[word] = ids
+            if len(word) <= KNOWN_LENGTH:
+                known[word] = ids
+        return coded
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words with a space before each, from the tokenizer's BPE model: what its other steps do
-        to such a word is to write its bytes as characters."""
-        space, tokenize, table = self.as_bytes[32], self.tokenizer.model.tokenize, self.as_bytes
-        shown = [space + (w if w.isascii() else w.translate(table)) for w in words]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in shown]
+    def _encode_letters(self, breaks: str, letters: str) -> bytes:
+        """Ids of Latin letters behind line breaks, or else behind a space, from the tokenizer's BPE model: what its
+        other steps do to such a word is to write its bytes as characters."""
+        shown = letters if letters.isascii() else letters.translate(self.as_bytes)
+        shown = shown if breaks else self.as_bytes[32] + shown
+        return self.breaks[breaks] + array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, run: str) -> Encoder:
+    """The encoder of a run in this process: its later tasks here know the words of the earlier ones."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -123,10 +167,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     Longer documents are cut so that all pieces but the first are full.
     """
 
+    run = uuid.uuid4().hex
+
     def start():
         import zlib
 
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, run)
         dealt = 0
 
         def call(ids, texts):
