@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +24,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def per_batch(rows: DataFrame, start: Callable[[], Callable], schema: str) -> DataFrame:
+# What the tasks of a run have in common in this Python process, by the run's name: of one run at most.
+_held: dict[str, Any] = {}
+
+
+def hold(run: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once for the tasks of a run in this Python process. Spark uses its Python processes for
+    stage after stage, so a task of any other run that begins here lets it go."""
+    let_go(run)
+    if run not in _held:
+        _held[run] = make()
+    return _held[run]
+
+
+def let_go(run: str | None = None) -> None:
+    """Drop what tasks of other runs hold in this Python process. Tasks of ``per_batch`` begin with it, and so does every
+    other Python task of the pipeline's stages."""
+    for other in _held.keys() - {run}:
+        del _held[other]
+
+
+def per_batch(rows: DataFrame, start: Callable[[], Callable], schema: str, run: str | None = None) -> DataFrame:
     """Arrow batches through ``start()(columns) -> columns``; ``start`` runs once in each task.
 
     ``columns`` are Python lists in the order of the frame. Batches are cut to ``SLICE_ROWS`` rows,
     so a task holds the values of a few hundred texts at a time, whatever the batch size of the
-    session.
+    session. Only what tasks hold for ``run`` is left from the tasks before.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(run)
         call = start()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):

@@ -12,13 +12,12 @@ import uuid
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch
+from .common import cut, hold, let_go, per_batch
 
 CAPACITY = 2048
 # Pieces of a group, on average: about as many rows of a few numbers are in one task at a time.
@@ -152,10 +151,10 @@ class Encoder:
         return self.breaks[breaks] + array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, run: str) -> Encoder:
-    """The encoder of a run in this process: its later tasks here know the words of the earlier ones."""
-    return Encoder(path)
+    """The encoder of a run in this process: its later tasks here know the words of the earlier ones. The next task of
+    anything else that begins here drops it."""
+    return hold(run, lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -192,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         return call
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return per_batch(rows, start, PIECES)
+    return per_batch(rows, start, PIECES, run)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -267,6 +266,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     groups = max(1, -(-part.count() // group))
 
     def pack_group(key, items):
+        let_go()
         items = items.sort_values(["length", "doc_id", "piece", "ids_crc32", "deal"], kind="stable", ignore_index=True)
         sequence, offset = np.zeros(len(items), "i8"), np.zeros(len(items), "i8")
         lengths = items["length"].tolist()

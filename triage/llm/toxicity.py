@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import let_go, per_batch
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -81,7 +81,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h % np.uint64(SLOTS)).astype("i8")
 
 
-def _group_counts(words: Counter, label: int) -> tuple[list, ...]:
+def _group_counts(words: Counter, label: int) -> tuple[np.ndarray, ...]:
     """Rows (hash of group, of its context, of its suffix, of the suffix's context, class counts, inner)."""
     names = list(words)
     times = np.fromiter((words[w] for w in names), "i8", len(names))
@@ -114,15 +114,14 @@ def count_groups(texts: DataFrame) -> DataFrame:
         def flush():
             for label in (0, 1):
                 if seen[label]:
-                    yield tuple(x.tolist() for x in _group_counts(seen[label], label))
+                    yield _group_counts(seen[label], label)
                     seen[label].clear()
 
         def call(text, label):
             for t, y in zip(text, label):
                 seen[y].update(words_of(t))
             if len(seen[0]) + len(seen[1]) > REMEMBERED:
-                parts = list(flush())
-                return tuple(sum((p[i] for p in parts), []) for i in range(7))
+                return tuple(np.concatenate(x) for x in zip(*flush()))
             return None
 
         call.rest = flush
@@ -158,15 +157,18 @@ class Model(NamedTuple):
     """The two models and the curve; small enough to be sent to every task."""
 
     slots: np.ndarray
-    parts: np.ndarray
+    table: np.ndarray  # a row of zeros, then one of PARTS for each slot: sent as tasks use it, not copied there
     curve: tuple[float, float, float] = DEFAULT_CURVE
 
+    @property
+    def parts(self) -> np.ndarray:
+        return self.table[1:]
 
-def reader(slots: np.ndarray, parts: np.ndarray):
+
+def reader(slots: np.ndarray, table: np.ndarray):
     """A function from texts to (difference per letter, difference of the most telling word)."""
     index = np.zeros(SLOTS, "i4")
     index[slots] = np.arange(1, len(slots) + 1, dtype="i4")
-    table = np.concatenate([np.zeros((1, len(PARTS)), "f4"), parts])
     known: dict[str, float] = {}
 
     def learn(words: list[str]) -> None:
@@ -265,9 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.filter(F.col("label").isin(0, 1))
     rows = texts.join(known.hint("shuffle_hash"), "id")
     counted = count_groups(rows.filter(F.col("fold") != CALIBRATION).select("text", "label"))
-    table = model_rows(counted).toArrow()
-    parts = np.column_stack([table[p].to_numpy() for p in PARTS]).astype("f4")
-    model = Model(table["slot"].to_numpy().astype("i8"), parts)
+    found = model_rows(counted).toArrow()
+    table = np.zeros((found.num_rows + 1, len(PARTS)), "f4")
+    for i, p in enumerate(PARTS):
+        table[1:, i] = found[p].to_numpy()
+    model = Model(found["slot"].to_numpy().astype("i4"), table)
+    del found
     ids = known.filter(fold("id") == CALIBRATION).dropDuplicates(["id"])
     few = ids.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)  # ids and labels only
     sample = texts.filter(F.col("fold") == CALIBRATION).select("id", "text").join(F.broadcast(few), "id")
@@ -301,8 +306,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def start():
-        slots, parts, (base, per_letter, peak) = sent.value
-        read = reader(slots, parts)
+        slots, table, (base, per_letter, peak) = sent.value
+        read = reader(slots, table)
 
         def call(ids, hashes, texts):
             found = read(texts)
@@ -326,8 +331,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def task(batches):
         import pyarrow as pa
 
-        slots, parts, (base, per_letter, peak) = sent.value
-        read = reader(slots, parts)
+        let_go()
+        slots, table, (base, per_letter, peak) = sent.value
+        read = reader(slots, table)
         limit = float(np.log(threshold / (1 - threshold)))
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
